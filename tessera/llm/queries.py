@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("simhash", "substring")
+MODULES = ("simhash", "packing", "substring")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
