@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("simhash", "packing", "substring", "warc", "vafile", "quality_rules")
+MODULES = ("simhash", "packing", "toxicity", "substring", "warc", "vafile", "quality_rules")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
