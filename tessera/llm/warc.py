@@ -15,6 +15,7 @@ that it refers to. Both joins move headers only, not payloads, unless ``with_pay
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -57,12 +58,13 @@ def _record(kind: str, rid: Column, fields: dict[str, Column | str | None], bloc
     return F.concat(*rows, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(END), block)
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, per_file: int = 6000) -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, per_file: int = 6000, compression: str | None = None) -> None:
     """Write ``pages`` to WARC files of at most ``per_file`` records under ``path``.
 
     Null payloads are empty ones; a null url leaves the field out; line breaks in a url are percent-encoded. Of rows
     with equal payloads those with the largest id are responses (more than one if that row is repeated). A row with a
-    null id is a revisit if its payload has a row with an id, else a response.
+    null id is a revisit if its payload has a row with an id, else a response. ``compression="gzip"`` writes each file as
+    one gzip member (.gz), which readers take in sequence; None writes plain files.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     url = F.replace(F.replace(F.col(url_col).cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -84,7 +86,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     revisit = _record("revisit", res, {**common, "X-Page-ID": page, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": F.concat(F.lit("page:"), F.col("refers_to").cast("string"))}, http)
     metadata = _record("metadata", meta, {"WARC-Target-URI": target, "WARC-Concurrent-To": res, "Content-Type": "application/warc-fields"}, F.concat(F.lit("page-id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit(CRLF)))
     rows = p.select(F.explode(F.array(request, F.when(F.col("refers_to").isNull(), response).otherwise(revisit), metadata)).alias("value"))
-    rows.write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    rows.write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", compression or "none").text(path)
 
 
 _RECORD = "type string, record_id string, concurrent_to string, url string, page_id long, digest string, refers_to string, block_bytes long, payload_bytes long, payload_sha1 string, fields string, payload string"
@@ -118,7 +120,8 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
         for b in batches:
             for content in b.column(0):
                 rows = []
-                for f, block in parse_warc(content.as_py()):
+                data = content.as_py()
+                for f, block in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     http = f.get("content-type", "").startswith("application/http") and f["warc-type"] == "response"
                     payload = block.partition(b"\r\n\r\n")[2] if http else b""
                     page = f.get("x-page-id")
@@ -161,7 +164,7 @@ def op7_warc_round_trip(spark, sf_dir: str) -> DataFrame:
     """Every page written to WARC files in the shared folder and read back."""
     path = new_path(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    write_warc(pages, path)
+    write_warc(pages, path, compression="gzip")
     t = transactions(read_records(spark, path))
     return t.select(
         F.col("response.page_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("response.type").alias("record_type"),

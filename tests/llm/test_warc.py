@@ -21,10 +21,10 @@ def brute(rows, least=0):
     return Counter(out)
 
 
-def trip(spark, rows, least=0, per_file=6000, with_payload=False):
+def trip(spark, rows, least=0, per_file=6000, with_payload=False, compression=None):
     path = new_path(spark, "warc")
     df = spark.createDataFrame([(*x, "", "") for x in rows], SCHEMA).repartition(3)
-    V.write_warc(df, path, least_bytes=least, per_file=per_file)
+    V.write_warc(df, path, least_bytes=least, per_file=per_file, compression=compression)
     return V.transactions(V.read_records(spark, path, with_payload)), path
 
 
@@ -33,8 +33,8 @@ ROWS += [(50, None, None), (51, "u", ""), (52, "a\r\nb", "x" * 200_000), (3, ROW
 
 
 def test_round_trip(spark):
-    for least, per_file in ((0, 6000), (30, 7)):
-        t, _ = trip(spark, ROWS, least, per_file)
+    for least, per_file, compression in ((0, 6000, "gzip"), (30, 7, None)):
+        t, _ = trip(spark, ROWS, least, per_file, compression=compression)
         got = Counter((x.response.page_id, x.payload_bytes, x.payload_digest, x.response.type, int(x.response.refers_to[5:]) if x.response.refers_to else None) for x in t.collect())
         assert got == brute(ROWS, least)
 
