@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("simhash", "pii", "packing", "toxicity", "substring", "warc", "vafile", "quality_rules")
+MODULES = ("simhash", "pii", "packing", "weak_quality", "toxicity", "substring", "warc", "mixing", "vafile", "quality_rules")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

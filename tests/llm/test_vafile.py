@@ -36,3 +36,13 @@ def test_against_brute_force(spark, factor):
 
 def test_empty(spark):
     assert V.top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_oracle(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = con.execute(V.ORACLE_SQL["op9_va_file_top_k"]).fetchall()
+    got = V.op9_va_file_top_k(spark, sf).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
