@@ -19,8 +19,6 @@ The candidate terms (few: they need ``support`` contexts) are broadcast up to ``
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,30 +103,36 @@ def _terms(piece: Column, reach: int, last: bool) -> Column:
 
 def contexts(found: DataFrame, reach: int) -> DataFrame:
     """(entity, ctx, term): the words beside each protected entity; ctx is a hash of the context's words."""
-    frames = []
-    for k in KINDS:
+
+    def beside(k: str) -> Column:
         m, p = F.col(f"_f_{k}")["m"], F.col(f"_f_{k}")["p"]
-        beside = F.transform(
-            m, lambda v, i: F.struct(F.concat(F.lit(k + ":"), F.lower(v)).alias("e"), F.concat(_terms(F.right(F.element_at(p, i + 1), F.lit(40 * reach)), reach, True), _terms(F.left(F.element_at(p, i + 2), F.lit(40 * reach)), reach, False)).alias("w"), _valid(k, v).alias("ok"))
-        )
-        frames.append(found.where(F.size(f"_{k}") > 0).select(F.explode(beside).alias("x")).where("x.ok").select(F.col("x.e").alias("entity"), F.col("x.w").alias("w")))
-    d = reduce(DataFrame.unionAll, frames)
+        left = lambda i: _terms(F.right(F.element_at(p, i + 1), F.lit(40 * reach)), reach, True)
+        right = lambda i: _terms(F.left(F.element_at(p, i + 2), F.lit(40 * reach)), reach, False)
+        x = F.transform(m, lambda v, i: F.struct(F.concat(F.lit(k + ":"), F.lower(v)).alias("entity"), F.concat(left(i), right(i)).alias("w"), _valid(k, v).alias("ok")))
+        return F.filter(x, lambda y: y["ok"])
+
+    some = F.lit(False)
+    for k in KINDS:
+        some = some | (F.size(f"_{k}") > 0)
+    d = found.where(some).select(F.explode(F.concat(*[beside(k) for k in KINDS])).alias("x")).select("x.entity", "x.w")
     return d.select("entity", F.xxhash64("w").alias("ctx"), F.explode(F.array_distinct("w")).alias("term"))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, reach: int, support: int, generalise: float, remove: float, broadcast_rows: int) -> DataFrame | None:
     """(_k1, _k2, terms, gone) of the rows that hold terms which disclose an entity; None if no pair has the support."""
-    pairs = contexts(found, reach).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    seen = store(contexts(found, reach).distinct(), "contexts")
+    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
     pairs = store(pairs, "pairs")
     if pairs.isEmpty():
         return None
     total = docs.count()
-    entities = contexts(found, reach).select("entity", "ctx").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    entities = seen.select("entity", "ctx").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     terms = pairs.select("term").distinct()
     small = terms.count() <= broadcast_rows
     words = docs.select("_k1", "_k2", F.explode(F.array_distinct(F.split(F.lower("_t"), _LETTERS))).alias("term")).where(F.length("term") >= 4)
-    hits = store(words.join(F.broadcast(terms) if small else terms, "term", "left_semi"), "hits")
-    counts = hits.groupBy("term").agg(F.count("*").alias("n_t"))
+    # Counted before the join: common terms are one row per task, not one per document.
+    counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = counts.join(F.broadcast(terms) if small else terms, "term")
     n = F.lit(float(max(total, 2)))
     pmi = F.log(F.col("n_et") * n / (F.col("n_e") * F.greatest("n_t", "n_et")))
     d = pairs.join(entities, "entity").join(counts, "term").select("term", (pmi / F.log(n / F.col("n_e"))).alias("d"))
@@ -136,7 +140,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, reach: int, support: int
     flagged = store(flagged, "terms")
     if flagged.isEmpty():
         return None
-    per_doc = hits.join(flagged, "term").groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.sort_array(F.collect_set(F.when(F.col("d") >= remove, F.col("term")))).alias("gone"))
+    few = flagged.count() <= broadcast_rows
+    per_doc = words.join(F.broadcast(flagged) if few else flagged, "term").groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.sort_array(F.collect_set(F.when(F.col("d") >= remove, F.col("term")))).alias("gone"))
     return store(per_doc, "flagged")
 
 
