@@ -22,6 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` rows an Arrow batch, so that batches of long texts stay small in a Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage; the copy survives the loss of any executor."""
     shared_dir(df.sparkSession)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import small_batches, store
 
 EOT = 1
 
@@ -227,6 +227,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     null or empty text has the end-of-text id only. An empty table gives an empty result. Other columns are not read.
     Sequences are full windows, or of a length that is a power of two; none needs padding.
     """
+    small_batches(docs.sparkSession)
     if window < 2 or window & (window - 1):
         raise ValueError("window must be a power of two")
     path = tokenizer or default_tokenizer()

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "other", "wide")
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -176,6 +178,7 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
     Null texts count as empty: no word, base_failed. A null or unknown language is compared with the class counts of all
     documents. Repeated rows and null ids stay; an empty table gives an empty result; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     refs = references(docs, rules, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

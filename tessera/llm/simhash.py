@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import small_batches, store
 from .components import components
 
 SEED = 42
@@ -57,6 +57,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """(id, fp long) for each row; null texts count as empty."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,8 +170,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
 
     Rows with a null id stay only if their component has no other; of repeated rows with one id, all stay or none.
     """
-    kept = near_duplicates(docs, id_col, text_col, distance).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"))
-    return docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    d = near_duplicates(docs, id_col, text_col, distance)
+    stays = F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id")))
+    # Stored, so that Spark knows the size: a few ids are broadcast and the texts stay; many are joined by shuffle.
+    gone = store(d.groupBy(F.col(id_col).alias("_id")).agg(stays.alias("stays")).where("not stays").select("_id"), "gone")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 from .linear import Sparse, fit, sigmoid
 
 #: Terms for groups of people that are swapped for one another, by kind, and a neutral stand-in.
@@ -80,6 +82,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     """Feature weights and intercept. Rows of ``labels`` in the held-out fold, with null ids or labels, are not used; of
     several labels for one id the greatest counts. With one class or no label at all, the weights are empty and the
     intercept is the smoothed log-odds of the labels seen."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
