@@ -21,7 +21,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import row_key, small_batches
 from .linear import Sparse, fit, sigmoid
 from .quality_rules import CLASSES, _classes, _repeat_words
 
@@ -37,7 +36,11 @@ BAD, GOOD, NONE = 1, 0, -1
 LABELLERS = ("symbols", "capitals", "repeats", "separators", "variety", "marks", "plain")
 
 
-_PLAIN = re.compile(rb"""[("'\xc2\xab]*[A-Za-z\x80-\xff](?:[a-z'-]|[\x80-\xff])*[.,;:!?)"'\xc2\xbb]?""").fullmatch
+_KIND = bytes(97 if 97 <= c <= 122 or c > 127 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
+_RUNS = re.compile(rb"([a0!-/:-@\[-`{-~])\1+").sub
+_CAPS = re.compile(rb"AAA+").sub
+_LETTER = re.compile(rb"[aA0]").search
+_PLAIN = re.compile(rb"""[("']?A?a?(?:['-]a)*[.,;:!?)"']?(?<=[aA.,;:!?)"'])""").fullmatch
 
 
 @dataclass(frozen=True)
@@ -52,14 +55,19 @@ class Stats:
     plain: float  # words of small letters, with at most a first capital and marks at the ends
 
 
-def stats_of(raw: bytes, words: list[bytes]) -> Stats:
+def shapes_of(raw: bytes) -> Counter:
+    """Word shapes of a whole text: a and 0 for runs of small letters (all beyond ASCII among them) and digits, A for one
+    capital and AA for more, other characters once for a run."""
+    return Counter(x[:12] for x in _CAPS(b"AA", _RUNS(rb"\1", raw.translate(_KIND))).split())
+
+
+def stats_of(raw: bytes, words: list[bytes], shapes: Counter) -> Stats:
     n = max(1, len(words))
     c = dict(zip(CLASSES, _classes(raw)[1], strict=True))
-    distinct = Counter(words)
-    bare = sum(k for w, k in distinct.items() if len(w) <= 3 and w[0] < 128 and not w.isalnum() and not any(48 <= x <= 57 or 65 <= x <= 90 or 97 <= x <= 122 or x > 127 for x in w))
+    bare = sum(k for x, k in shapes.items() if not _LETTER(x))
+    plain = sum(k for x, k in shapes.items() if _PLAIN(x))
     letters = c["lower"] + c["upper"]
-    plain = sum(k for w, k in distinct.items() if _PLAIN(w))
-    return Stats(len(words), c["symbol"] / n, c["upper"] / letters if letters else 0.0, _repeat_words(words) / n, bare / n, len(distinct) / n, c["mark"] / n, plain / n)
+    return Stats(len(words), c["symbol"] / n, c["upper"] / letters if letters else 0.0, _repeat_words(words) / n, bare / n, len(set(words)) / n, c["mark"] / n, plain / n)
 
 
 def votes(s: Stats) -> tuple[int, ...]:
@@ -79,19 +87,11 @@ def votes(s: Stats) -> tuple[int, ...]:
     )
 
 
-def _shape(w: str) -> str:
-    kinds = ("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "L" if c.isalpha() else c for c in w[:64])
-    return "".join(k for k, _ in groupby(kinds))[:12]
-
-
-def features(words: list[bytes], s: Stats, bits: int) -> tuple[list[int], list[float]]:
+def features(shapes: Counter, s: Stats, bits: int) -> tuple[list[int], list[float]]:
     """Hashed columns and values: square roots of word-shape shares, and one of ten buckets for each statistic."""
     mask, out = (1 << bits) - 1, Counter()
-    shapes: Counter = Counter()
-    for w, k in Counter(words).items():
-        shapes[_shape(w.decode("utf-8", "replace"))] += k
     for x, k in shapes.items():
-        out[xxhash.xxh3_64_intdigest("s:" + x) & mask] += math.sqrt(k / max(1, s.n))
+        out[xxhash.xxh3_64_intdigest(b"s:" + x) & mask] += math.sqrt(k / max(1, s.n))
     if s.n >= 10:
         for name in LABELLERS:
             v = getattr(s, name)
@@ -156,17 +156,19 @@ class Scorer:
     bits: int
 
 
-def _text(t: pa.Scalar) -> tuple[bytes, list[bytes]]:
+def _read(t: pa.Scalar) -> tuple[Stats, Counter]:
     raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
-    return raw, raw.split()
+    shapes = shapes_of(raw)
+    return stats_of(raw, raw.split(), shapes), shapes
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, bits: int = 14) -> Scorer:
     """The vote model over all rows, and the scorer on a bounded sample of them."""
+    small_batches(docs.sparkSession)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c: Counter = Counter(",".join(map(str, votes(stats_of(*_text(t))))) for t in b.column(0))
+            c: Counter = Counter(",".join(map(str, votes(_read(t)[0]))) for t in b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["pattern", "n"])
 
     t = docs.select(F.col(text_col).cast("string").alias("t"))
@@ -181,9 +183,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         for b in batches:
             rows = []
             for t in b.column(0):
-                raw, words = _text(t)
-                s = stats_of(raw, words)
-                rows.append((",".join(map(str, votes(s))), *features(words, s, bits)))
+                s, shapes = _read(t)
+                rows.append((",".join(map(str, votes(s))), *features(shapes, s, bits)))
             cols = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64())), strict=True)], ["p", "c", "v"])
 
@@ -208,9 +209,8 @@ def score(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text_col: str
         for b in batches:
             post, out = [], []
             for t in b.column(b.num_columns - 1):
-                raw, words = _text(t)
-                s = stats_of(raw, words)
-                c, v = features(words, s, model.bits)
+                s, shapes = _read(t)
+                c, v = features(shapes, s, model.bits)
                 post.append(model.votes.posterior(votes(s)))
                 out.append(float(model.weights[c] @ np.array(v)) + model.intercept if c else model.intercept)
             p = sigmoid(np.array(out, float))
@@ -227,8 +227,8 @@ def keep_good(docs: DataFrame, model: Scorer, text_col: str = "text", reject: fl
         for b in batches:
             at, keep = b.schema.names.index(text_col), []
             for t in b.column(at):
-                raw, words = _text(t)
-                c, v = features(words, stats_of(raw, words), model.bits)
+                s, shapes = _read(t)
+                c, v = features(shapes, s, model.bits)
                 keep.append(bool(sigmoid((float(model.weights[c] @ np.array(v)) if c else 0.0) + model.intercept) < reject))
             yield b.filter(pa.array(keep, pa.bool_()))
 
