@@ -113,6 +113,7 @@ def randomized_svd(m: CoMatrix, k: int, oversample: int = 10, power: int = 3, se
     """
     from ..session import cut
 
+    m = m.with_df(m.df.persist())  # read by every pass; lost parts are made again from their lineage
     size = max(1, min(k + oversample, m.n_rows, m.n_cols))
     omega = m.spark.range(m.n_cols).select(F.col("id").alias("i"), F.array(*[_gaussian(seed, a) for a in range(size)]).alias("x"))
     y = cut(matmul(m, omega, size))
@@ -130,6 +131,7 @@ def randomized_svd(m: CoMatrix, k: int, oversample: int = 10, power: int = 3, se
     q = cut(_orthonormal(y, size))
     size = len(q.first()["x"])
     bt = cut(matmul_t(m, q, size))  # B^T = X^T Q
+    m.df.unpersist()
     w, e = np.linalg.eigh(gram(bt, size))
     order = np.argsort(-w)[: min(k, size)]
     sigma = np.sqrt(np.maximum(w[order], 0))

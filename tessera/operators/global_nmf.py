@@ -83,6 +83,7 @@ class GlobalTriFactor:
 
     def fit(self, m: CoMatrix) -> tuple[DataFrame, np.ndarray, DataFrame, list[float]]:
         """F, S, G and the errors by round."""
+        m = m.with_df(m.df.persist())
         f, s, g = self.start(m)
         f, g, errors = cut(f), cut(g), []
         for _ in range(self.max_iter):
@@ -90,6 +91,7 @@ class GlobalTriFactor:
             errors.append(reconstruction_error(m, f, s, g))
             if len(errors) > 1 and abs(errors[-2] - errors[-1]) <= self.tol * max(1.0, abs(errors[0])):
                 break
+        m.df.unpersist()
         return f, s, g, errors
 
     def labels(self, m: CoMatrix) -> DataFrame:
@@ -139,6 +141,7 @@ class GlobalFnmf:
 
     def fit(self, m: CoMatrix) -> tuple[DataFrame, DataFrame]:
         k = max(self.n_row, self.n_col)
+        m = m.with_df(m.df.persist())
         w = cut(m.spark.range(m.n_rows).select(F.col("id").alias("i"), F.array(*[uniform(self.seed, F.col("id"), F.lit(a)) for a in range(k)]).alias("x")))
         h = w
         for _ in range(self.max_iter):
@@ -147,6 +150,7 @@ class GlobalFnmf:
             n = np.sqrt(np.diag(gram(w, k)))
             safe = np.where(n > 1e-30, n, 1.0)
             w, h = times(w, np.diag(1 / safe)), times(h, np.diag(safe))
+        m.df.unpersist()
         return w, h
 
     def labels(self, m: CoMatrix) -> DataFrame:
