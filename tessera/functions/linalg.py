@@ -87,15 +87,19 @@ def orthogonality_penalty(f: DataFrame) -> float:
     return f.agg(F.sum(total * total - squares)).first()[0] or 0.0
 
 
-def _orthonormal(y: DataFrame, k: int) -> DataFrame:
-    """Thin Q of a tall factor by twice-repeated Cholesky of its Gram matrix; only k x k reaches the driver."""
-    for _ in range(2):
+def _orthonormal(y: DataFrame, k: int, passes: int = 1) -> tuple[DataFrame, int]:
+    """Thin Q of a tall factor by the eigenvectors of its Gram matrix, and its rank; only k x k reaches the driver. One
+    pass keeps power iterations stable, two are orthonormal to working precision."""
+    from ..session import cut
+
+    for p in range(passes):
         g = gram(y, k)
         w, v = np.linalg.eigh((g + g.T) / 2)
         keep = w > max(1e-30, w.max() * 1e-14) if len(w) else w > 0
-        y = times(y, v[:, keep] / np.sqrt(w[keep]))
-        k = int(keep.sum())
-    return y
+        y, k = times(y, v[:, keep] / np.sqrt(w[keep])), int(keep.sum())
+        if p < passes - 1:
+            y = cut(y)  # nested products would grow as k^3 terms
+    return y, k
 
 
 def _gaussian(seed: int, a: int):
@@ -118,30 +122,38 @@ def randomized_svd(m: CoMatrix, k: int, oversample: int = 10, power: int = 3, se
     omega = m.spark.range(m.n_cols).select(F.col("id").alias("i"), F.array(*[_gaussian(seed, a) for a in range(size)]).alias("x"))
     y = cut(matmul(m, omega, size))
     for _ in range(power):
-        q = _orthonormal(y, size)
-        size = len(q.first()["x"]) if not q.isEmpty() else 0
-        if not size:
-            break
-        z = cut(matmul_t(m, q, size))
-        z = _orthonormal(z, size)
-        size = len(z.first()["x"])
+        q, size = _orthonormal(y, size)
+        z, size = _orthonormal(cut(matmul_t(m, q, size)), size)
         y = cut(matmul(m, z, size))
+    q, size = _orthonormal(y, size, 2)
     if not size:
-        return y, np.zeros(0), omega.limit(0)
-    q = cut(_orthonormal(y, size))
-    size = len(q.first()["x"])
+        m.df.unpersist()
+        return q, np.zeros(0), omega.limit(0)
+    q = cut(q)
     bt = cut(matmul_t(m, q, size))  # B^T = X^T Q
     m.df.unpersist()
     w, e = np.linalg.eigh(gram(bt, size))
     order = np.argsort(-w)[: min(k, size)]
     sigma = np.sqrt(np.maximum(w[order], 0))
     e = e[:, order]
-    v = times(bt, e / np.where(sigma > 0, sigma, 1))
-    big = [v.agg(F.max_by(F.col("x")[a], F.abs(F.col("x")[a]))).first()[0] for a in range(len(order))]
+    v = cut(times(bt, e / np.where(sigma > 0, sigma, 1)))
+    big = v.agg(*[F.max_by(F.col("x")[a], F.abs(F.col("x")[a])).alias(f"b{a}") for a in range(len(order))]).first()
     sign = np.array([-1.0 if (x or 0) < 0 else 1.0 for x in big])
     return times(q, e * sign), sigma, times(v, np.diag(sign))
 
 
+def svd(m: CoMatrix, k: int, seed: int = 0, small: int = 50, cells: int = 1_000_000) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """The k largest singular values and vectors: a full decomposition on the driver where a side has at most ``small``
+    entries, or k is half of it or more, and the matrix at most ``cells`` cells; else the distributed randomised one."""
+    low = min(m.n_rows, m.n_cols)
+    if (low > small and 2 * k < low) or m.cells > cells:
+        return randomized_svd(m, k, seed=seed)
+    from ..operators.atoms import truncated_svd
+
+    u, s, v = truncated_svd(m.to_numpy(cells), k)
+    return factor_frame(m.spark, u), s, factor_frame(m.spark, v)
+
+
 def bipartite_laplacian(m: CoMatrix) -> CoMatrix:
     """The symmetric normalised adjacency of the row-column graph, (n + m) square; nodes without degree have no cell."""
     n = m.n_rows

@@ -68,7 +68,7 @@ def sizes_of(m: CoMatrix) -> DataFrame:
 
 
 def prune_short(m: CoMatrix, target: int) -> DataFrame:
-    """(i, nnz) of the rows with at least the largest threshold of non-zeros that still keeps ``target`` rows.
+    """(i, nnz) of the rows with at least the largest threshold of non-zeros that still keeps ``target`` rows; all of them if there are fewer.
 
     Thresholds come from the histogram of row sizes, a narrow table.
     """

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import binormalize, check_non_negative, is_zero_vector, l2_normalize
-from ..functions.linalg import randomized_svd
+from ..functions.linalg import svd
 from ..session import cut
 from ..sources.matrix import CoMatrix
 from . import atoms
@@ -84,7 +84,7 @@ class SVDClusterer:
 
     def labels(self, m: CoMatrix) -> DataFrame:
         check_non_negative(m)
-        u, sigma, v = randomized_svd(binormalize(m.with_df(m.df.where(F.abs("v") > 1e-15))), min(self.n_vectors or self.k, m.n_rows, m.n_cols), seed=self.seed)
+        u, sigma, v = svd(binormalize(m.with_df(m.df.where(F.abs("v") > 1e-15))), min(self.n_vectors or self.k, m.n_rows, m.n_cols), seed=self.seed)
         z = u.select(F.lit("row").alias("axis"), F.col("i").alias("idx"), "x").unionAll(v.select(F.lit("col"), "i", "x"))
         some = cut(z.where(~is_zero_vector(F.col("x"))).select("axis", "idx", l2_normalize(F.col("x")).alias("x")))
         found = _kmeans(some, min(self.k, m.n_rows + m.n_cols), 100, self.seed, 3).select("axis", "idx", F.col("prediction").cast("long").alias("label"))
@@ -109,7 +109,7 @@ class SpectralCocluster:
     def labels(self, m: CoMatrix) -> DataFrame:
         k = min(self.n_row_clusters, self.n_col_clusters)
         # The normalised adjacency's vectors are those of the bi-normalised matrix, rows and columns stacked.
-        u, sigma, v = randomized_svd(binormalize(m), min(k + 1, m.n_rows, m.n_cols), seed=self.seed)
+        u, sigma, v = svd(binormalize(m), min(k + 1, m.n_rows, m.n_cols), seed=self.seed)
         tail = F.slice("x", 2, max(1, len(sigma) - 1)) if len(sigma) > 1 else F.col("x")
         rows = _kmeans(cut(u.select(F.lit("row").alias("axis"), F.col("i").alias("idx"), tail.alias("x"))), self.n_row_clusters, self.max_iter, self.seed, self.n_init)
         cols = _kmeans(cut(v.select(F.lit("col").alias("axis"), F.col("i").alias("idx"), tail.alias("x"))), self.n_col_clusters, self.max_iter, self.seed, self.n_init)

@@ -139,9 +139,9 @@ def sign_partition(m: CoMatrix, p: PartitionParams) -> SignPartition:
     """Blocks by the signs of the first singular vectors: the cross product of the sides, small blocks dropped, the
     largest repeated up to num_partitions. One entry per row and column reaches the driver, as the order of the
     balancing rule needs."""
-    from ..functions.linalg import factor_numpy, randomized_svd
+    from ..functions.linalg import factor_numpy, svd
 
-    u, sigma, v = randomized_svd(m, min(p.k + 1, m.n_rows, m.n_cols))
+    u, sigma, v = svd(m, min(p.k + 1, m.n_rows, m.n_cols))
     rows = split_by_sign(factor_numpy(u, m.n_rows, len(sigma))[:, 0], p.tau)
     cols = split_by_sign(factor_numpy(v, m.n_cols, len(sigma))[:, 0], p.tau)
     blocks = [(r, c) for r in rows for c in cols if len(r) >= p.min_size[0] and len(c) >= p.min_size[1]]

@@ -531,7 +531,7 @@ def top_variance_features(spark, sf):
     return T.top_variance_features(m, 100).join(cols.withColumnRenamed("idx", "j"), "j").select(F.col("key").alias("term"), r("var").alias("var"))
 
 
-@query("prune_short_docs", f"WITH {CP}, s AS (SELECT i, count(*) AS nnz FROM cp WHERE v <> 0 GROUP BY i), b AS (SELECT max(nnz) AS b FROM (SELECT nnz, sum(count(*)) OVER (ORDER BY nnz DESC) AS kept FROM s GROUP BY nnz) WHERE kept >= 500) SELECT i, nnz FROM s, b WHERE nnz >= b")
+@query("prune_short_docs", f"WITH {CP}, s AS (SELECT i, count(*) AS nnz FROM cp WHERE v <> 0 GROUP BY i), b AS (SELECT coalesce(max(nnz), 0) AS b FROM (SELECT nnz, sum(count(*)) OVER (ORDER BY nnz DESC) AS kept FROM s GROUP BY nnz) WHERE kept >= 500) SELECT i, nnz FROM s, b WHERE nnz >= b")
 def prune_short_docs(spark, sf):
     return T.prune_short(cust_part(spark, sf), 500)
 
