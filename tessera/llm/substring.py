@@ -287,4 +287,19 @@ def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_substring_dedup": op6_substring_dedup}
-ORACLE_SQL: dict[str, str] = {}
+#: Every window written out and counted.
+ORACLE_SQL = {
+    "op6_substring_dedup": """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS seq FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)
+), rep AS (SELECT seq FROM s GROUP BY seq HAVING count(*) > 1),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS g FROM s JOIN rep USING (seq) GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+cut AS (SELECT doc_id, unnest(g) AS i, true AS hit FROM gone),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS line, count(*) AS n FROM words LEFT JOIN cut USING (doc_id, i) WHERE hit IS NULL GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+}

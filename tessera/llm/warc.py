@@ -173,4 +173,17 @@ def op7_warc_round_trip(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_warc_round_trip": op7_warc_round_trip}
-ORACLE_SQL: dict[str, str] = {}
+#: Digests from SHA-1 in hex: five hex digits make four base32 digits.
+ORACLE_SQL = {
+    "op7_warc_round_trip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (
+  SELECT page_id, octet_length(encode(h)) AS n, list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(x, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), 'string_agg', '') AS digest
+  FROM p
+), m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS last FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM m
+"""
+}
