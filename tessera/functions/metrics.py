@@ -183,10 +183,10 @@ def class_distribution(labels: DataFrame, label: str = "label") -> DataFrame:
 def speedup(runs: DataFrame) -> DataFrame:
     """(dataset, method, ratio, nmi_gain): standalone over divide-and-merge time and the gain in NMI.
 
-    Input: dataset, method, variant (standalone or dimerge), seconds, nmi.
+    Input: dataset, method, variant (standalone or divide_merge), seconds, nmi.
     """
-    s = runs.groupBy("dataset", "method").pivot("variant", ["standalone", "dimerge"]).agg(F.avg("seconds").alias("s"), F.avg("nmi").alias("q"))
-    return s.select("dataset", "method", F.try_divide("standalone_s", "dimerge_s").alias("ratio"), (F.col("dimerge_q") - F.col("standalone_q")).alias("nmi_gain"))
+    s = runs.groupBy("dataset", "method").pivot("variant", ["standalone", "divide_merge"]).agg(F.avg("seconds").alias("s"), F.avg("nmi").alias("q"))
+    return s.select("dataset", "method", F.try_divide("standalone_s", "divide_merge_s").alias("ratio"), (F.col("divide_merge_q") - F.col("standalone_q")).alias("nmi_gain"))
 
 
 def best_runs(runs: DataFrame, by: str = "nmi", n: int = 10) -> DataFrame:

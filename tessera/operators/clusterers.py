@@ -17,7 +17,7 @@ from ..functions.linalg import svd
 from ..session import cut
 from ..sources.matrix import CoMatrix
 from . import atoms
-from .dimerge import DiMerge
+from .divide_merge import DivideMerge
 
 
 class Clusterer(Protocol):
@@ -127,7 +127,7 @@ def SpectralCoclustererHook(n_row_clusters: int, n_col_clusters: int) -> Spectra
 @dataclass(frozen=True)
 class LocalModel:
     """An atom run on the whole matrix as one dense block on one executor: for matrices that fit (``limit`` cells).
-    Larger ones go through DiMerge, whose blocks are bounded, or the distributed models."""
+    Larger ones go through DivideMerge, whose blocks are bounded, or the distributed models."""
 
     atom: object
     limit: int = 50_000_000
@@ -135,7 +135,7 @@ class LocalModel:
 
     def labels(self, m: CoMatrix) -> DataFrame:
         if m.cells > self.limit:
-            raise ValueError(f"{m.cells} cells are more than {self.limit}: use DiMerge")
+            raise ValueError(f"{m.cells} cells are more than {self.limit}: use DivideMerge")
         n, w, atom = m.n_rows, m.n_cols, self.atom
 
         def run(t: pd.DataFrame) -> pd.DataFrame:
@@ -154,11 +154,11 @@ class LocalModel:
 
 
 @dataclass(frozen=True)
-class DiMergeClusterer:
+class DivideMergeClusterer:
     """Divide and merge as a clusterer."""
 
-    model: DiMerge
-    name: str = "dimerge"
+    model: DivideMerge
+    name: str = "divide_merge"
 
     def cluster(self, m: CoMatrix) -> DataFrame:
         return self.model.run(m)[0]

@@ -28,7 +28,7 @@ _LOCAL = "node long, pos long, row_indices array<long>, col_indices array<long>"
 
 
 @dataclass(frozen=True)
-class DiMergeStats:
+class DivideMergeStats:
     partitions: int
     tree_depth: int
     preservation_probability: float
@@ -37,7 +37,7 @@ class DiMergeStats:
 
 
 @dataclass
-class DiMerge:
+class DivideMerge:
     """k, n and delta are reported and checked; blocks depend on the seed and the grid, and the atom has its own k.
     ``num_threads`` is accepted and changes nothing."""
 
@@ -57,7 +57,7 @@ class DiMerge:
             raise ValueError("m_blocks >= 2, n_blocks >= 1 and t_p >= 1 are needed")
 
     @classmethod
-    def adaptive(cls, m: CoMatrix, k: int, local, **options) -> DiMerge:
+    def adaptive(cls, m: CoMatrix, k: int, local, **options) -> DivideMerge:
         """Grid from the shape, ten iterations."""
         return cls(k, local, t_p=options.pop("t_p", 10), m_blocks=block_grid(m.n_rows), n_blocks=block_grid(m.n_cols), **options)
 
@@ -98,7 +98,7 @@ class DiMerge:
 
         return cells.groupBy("node").applyInPandas(run, _LOCAL), n
 
-    def run(self, m: CoMatrix) -> tuple[DataFrame, DiMergeStats, DataFrame]:
+    def run(self, m: CoMatrix) -> tuple[DataFrame, DivideMergeStats, DataFrame]:
         """(co-clusters, statistics, merge rounds)."""
         PartitionParams(self.k, max(1, m.n_rows), self.delta)
         t0 = time.monotonic()
@@ -108,5 +108,5 @@ class DiMerge:
         merged, rounds = merge_tree(local, n, self.merge)
         # Numbers follow the place in the merged set.
         out = cut(merged.withColumn("cid", F.row_number().over(W.orderBy("pos", "row_indices", "col_indices")).cast("long") - 1).select("cid", "row_indices", "col_indices", F.lit(None).cast("double").alias("score")))
-        stats = DiMergeStats(n, tree_depth(n), 1 - math.exp(-self.t_p / 2), local.count(), {"local": t1 - t0, "merge": time.monotonic() - t1})
+        stats = DivideMergeStats(n, tree_depth(n), 1 - math.exp(-self.t_p / 2), local.count(), {"local": t1 - t0, "merge": time.monotonic() - t1})
         return out, stats, rounds

@@ -8,8 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.clusterers import DiMergeClusterer
-from ..operators.dimerge import DiMerge
+from ..operators.clusterers import DivideMergeClusterer
+from ..operators.divide_merge import DivideMerge
 from ..operators.merge import MergeConfig
 from ..operators.partition import explicit_grid
 from ..session import cut
@@ -130,15 +130,15 @@ class PipelineBuilder:
     def parallel(self, on: bool) -> PipelineBuilder:
         return self._set(parallel=on)
 
-    def with_dimerge(self, k: int, local, m: CoMatrix, **options) -> PipelineBuilder:
+    def with_divide_merge(self, k: int, local, m: CoMatrix, **options) -> PipelineBuilder:
         """Divide and merge with a grid from the shape, adaptive merging, threshold .5 and parallel level 2."""
         options.setdefault("merge", MergeConfig("adaptive", merge_threshold=0.5, parallel_level=2))
-        return self.with_clusterer(DiMergeClusterer(DiMerge.adaptive(m, k, local, **options)))
+        return self.with_clusterer(DivideMergeClusterer(DivideMerge.adaptive(m, k, local, **options)))
 
-    def with_dimerge_explicit(self, k: int, local, num_partitions: int, **options) -> PipelineBuilder:
+    def with_divide_merge_explicit(self, k: int, local, num_partitions: int, **options) -> PipelineBuilder:
         """Divide and merge on a ceil(sqrt(P)) square grid, one iteration."""
         a, b = explicit_grid(num_partitions)
-        return self.with_clusterer(DiMergeClusterer(DiMerge(k, local, m_blocks=max(2, a), n_blocks=b, **options)))
+        return self.with_clusterer(DivideMergeClusterer(DivideMerge(k, local, m_blocks=max(2, a), n_blocks=b, **options)))
 
     def build(self) -> Pipeline:
         if self._clusterer is None:

@@ -18,7 +18,7 @@ from ..functions import text as T
 from ..operators import atoms as A
 from ..operators import partition as P
 from ..operators.clusterers import BasicCoclusterer, LocalModel, SpectralCocluster, SVDClusterer, cross_coclusters
-from ..operators.dimerge import DiMerge
+from ..operators.divide_merge import DivideMerge
 from ..operators.global_nmf import GlobalFnmf, GlobalTriFactor, argmax_last
 from ..operators.merge import MergeConfig, adaptive_score, greedy_overlap, merge_intersection, merge_tree, merge_union, overlap_pairs, union_dc, vote_labels, weighted_score
 from ..operators.scoring import CompatibilityScorer, CompositeScorer, ExponentialScorer, PearsonScorer, rank_one_score, singular_values
@@ -590,10 +590,10 @@ def global_nbvd(spark, sf):
     return scalar(spark, falls=all(b <= a + 1e-6 for a, b in zip(errors, errors[1:])))
 
 
-def _dimerge(name: str, atom, strategy: str) -> None:
+def _divide_merge(name: str, atom, strategy: str) -> None:
     def run(spark, sf):
         m = S.planted(spark, 60, 40, 2, 4.0)
-        out, stats, rounds = DiMerge(2, atom, merge=MergeConfig(strategy), t_p=5, m_blocks=2, n_blocks=1).run(m)
+        out, stats, rounds = DivideMerge(2, atom, merge=MergeConfig(strategy), t_p=5, m_blocks=2, n_blocks=1).run(m)
         lab = X.consensus_labels(out, 60, 2).join(S.planted_labels(spark, 60, 2).select("i", F.col("label").alias("t")), "i")
         ok = X.nmi(lab, "t", "label").first()["nmi"] > 0.99
         return scalar(spark, found=bool(ok), partitions=stats.partitions, depth=stats.tree_depth, preservation=round(stats.preservation_probability, 6))
@@ -601,15 +601,15 @@ def _dimerge(name: str, atom, strategy: str) -> None:
     query(name, f"SELECT true AS found, 10 AS partitions, 4 AS depth, {round(1 - math.exp(-2.5), 6)}::DOUBLE AS preservation")(run)
 
 
-_dimerge("dimerge_scc", A.Scc(2), "adaptive")
-_dimerge("dimerge_nbvd", A.Nbvd(A.TriConfig(2, 2, 20, 20, 3)), "union")
+_divide_merge("divide_merge_scc", A.Scc(2), "adaptive")
+_divide_merge("divide_merge_nbvd", A.Nbvd(A.TriConfig(2, 2, 20, 20, 3)), "union")
 
 
 @query("consensus_embedding")
 def consensus_embedding(spark, sf):
     """Divide and merge on embeddings, with consensus labels."""
     m, _ = embedding_matrix(spark, sf)
-    out, _, _ = DiMerge(10, A.Scc(10), t_p=4, m_blocks=2, n_blocks=1).run(m)
+    out, _, _ = DivideMerge(10, A.Scc(10), t_p=4, m_blocks=2, n_blocks=1).run(m)
     return X.consensus_labels(out, m.n_rows, 10)
 
 

@@ -7,7 +7,7 @@ from tessera.functions import linalg as L
 from tessera.functions import metrics as X
 from tessera.operators import atoms as A
 from tessera.operators.clusterers import BasicCoclusterer, LocalModel, SpectralCocluster, SVDClusterer
-from tessera.operators.dimerge import DiMerge
+from tessera.operators.divide_merge import DivideMerge
 from tessera.operators.global_nmf import GlobalFnmf, GlobalTriFactor
 from tessera.operators.merge import MergeConfig, greedy_overlap, merge_intersection, merge_tree, merge_union, union_dc, vote_labels
 from tessera.operators.partition import PartitionError, PartitionParams, block_grid, random_blocks, sign_partition, split_by_sign
@@ -136,14 +136,14 @@ def test_partition(spark):
     assert p.threshold == (3 / 50) ** 0.5 and 0 <= p.preservation <= 1 and len(p.blocks) >= 4
 
 
-def test_dimerge(spark):
+def test_divide_merge(spark):
     m = S.planted(spark, 50, 40, 2, lift=4.0)
-    out, stats, rounds = DiMerge(2, A.Scc(2), t_p=5, m_blocks=2, n_blocks=1).run(m)
+    out, stats, rounds = DivideMerge(2, A.Scc(2), t_p=5, m_blocks=2, n_blocks=1).run(m)
     assert stats.partitions == 10 and stats.tree_depth == 4 and out.count() == stats.local_clusters
     lab = X.consensus_labels(out, 50, 2).join(S.planted_labels(spark, 50, 2).select("i", F.col("label").alias("t")), "i")
     assert X.nmi(lab, "t", "label").first()["nmi"] > 0.99
     assert [r["round"] for r in rounds.orderBy("round").collect()] == [0, 1, 2, 3, 4]
-    assert DiMerge(2, A.Basic(2), t_p=1, m_blocks=2, n_blocks=2, merge=MergeConfig("intersection")).run(m)[0].count() == 0
+    assert DivideMerge(2, A.Basic(2), t_p=1, m_blocks=2, n_blocks=2, merge=MergeConfig("intersection")).run(m)[0].count() == 0
 
 
 def test_merge(spark):
@@ -224,5 +224,5 @@ def test_pipeline(spark):
     s = r.stats.first()
     scores = [x["score"] for x in r.coclusters.collect()]
     assert len(scores) == 2 == s["count"] and scores == sorted(scores, reverse=True) and s["max"] == max(scores) and "kept 2" in r.summary()
-    d = Pipeline.builder().with_dimerge(2, A.Scc(2), m, t_p=1).with_scorer(PearsonScorer()).min_score(0.0).build().run(m)
+    d = Pipeline.builder().with_divide_merge(2, A.Scc(2), m, t_p=1).with_scorer(PearsonScorer()).min_score(0.0).build().run(m)
     assert d.found > 0
