@@ -94,6 +94,25 @@ def consensus_labels(coclusters: DataFrame, n_rows: int, k: int, max_iter: int =
     return model.transform(f).select("i", F.col("prediction").cast("long").alias("label"))
 
 
+def hierarchical_consensus(labelings: Sequence[DataFrame], n_rows: int, k: int, seed: int = 0) -> DataFrame:
+    """(i, label) from several labelings (i, label), merged in pairs: each pair's labels are clusters of a consensus."""
+    level = list(labelings)
+    while len(level) > 1:
+        up = []
+        for a, b in zip(level[::2], level[1::2], strict=False):
+            width = a.agg(F.coalesce(F.max("label"), F.lit(0)) + 1).first()[0]
+            both = a.select("i", F.col("label").alias("cid")).unionAll(b.select("i", (F.col("label") + width).alias("cid")))
+            up.append(consensus_labels(both.groupBy("cid").agg(F.sort_array(F.collect_list("i")).alias("row_indices")), n_rows, k, seed=seed))
+        level = up + ([level[-1]] if len(level) % 2 else [])
+    return level[0]
+
+
+def block_labels_match(labels: DataFrame, size: int) -> DataFrame:
+    """One row ok: whether rows below and from ``size`` on have one label each, and not the same."""
+    d = labels.groupBy((F.col("i") < size).alias("first")).agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    return d.agg((F.bool_and(F.col("a") == F.col("b")) & (F.min("a") != F.max("a"))).alias("ok"))
+
+
 def seed_summary(runs: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Mean, sample deviation (0 below two runs), population deviation and count by group."""
     return runs.groupBy(*by).agg(F.avg(value).alias("mean"), F.coalesce(F.nanvl(F.stddev_samp(value), F.lit(0.0)), F.lit(0.0)).alias("std"), F.stddev_pop(value).alias("std_pop"), F.count("*").alias("n"))

@@ -554,6 +554,58 @@ def single_label(spark, sf):
     return T.single_label(table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("e")), "vec_id", "e")
 
 
+@query("chunk_sums", f"WITH {CP} SELECT i // 100 AS chunk, count(*) AS cells, round(sum(v), 4) AS total FROM cp GROUP BY 1")
+def chunk_sums(spark, sf):
+    return cust_part(spark, sf).chunks(100).groupBy("chunk").agg(F.count("*").alias("cells"), r(F.sum("v"), 4).alias("total"))
+
+
+@query("class_distribution", "SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang")
+def class_distribution(spark, sf):
+    return X.class_distribution(table(spark, sf, "documents").select(F.col("lang").alias("label")))
+
+
+@query("block_label_check", "SELECT true AS ok, false AS other")
+def block_label_check(spark, sf):
+    d = spark.range(20).select(F.col("id").alias("i"), F.expr("1 - id div 10").alias("label"))
+    return X.block_labels_match(d, 10).crossJoin(X.block_labels_match(d, 9).select(F.col("ok").alias("other")))
+
+
+_TIMES = "t AS (SELECT p_brand AS dataset, p_type AS method, CASE WHEN p_size <= 25 THEN 'standalone' ELSE 'divide_merge' END AS variant, p_retailprice AS seconds, p_size AS nmi FROM part)"
+
+
+def _times(spark, sf) -> DataFrame:
+    v = F.when(F.col("p_size") <= 25, "standalone").otherwise("divide_merge")
+    return table(spark, sf, "part").select(F.col("p_brand").alias("dataset"), F.col("p_type").alias("method"), v.alias("variant"), F.col("p_retailprice").alias("seconds"), F.col("p_size").alias("nmi"))
+
+
+@query("speedup_report", f"WITH {_TIMES} SELECT dataset, method, round(avg(seconds) FILTER (variant = 'standalone') / avg(seconds) FILTER (variant = 'divide_merge'), 6) AS ratio, round(avg(nmi) FILTER (variant = 'divide_merge') - avg(nmi) FILTER (variant = 'standalone'), 6) AS nmi_gain FROM t GROUP BY ALL")
+def speedup_report(spark, sf):
+    return X.speedup(_times(spark, sf)).select("dataset", "method", r("ratio").alias("ratio"), r("nmi_gain").alias("nmi_gain"))
+
+
+@query("hierarchical_consensus", "SELECT true AS found")
+def hierarchical_consensus(spark, sf):
+    truth = S.planted_labels(spark, 40, 2)
+    runs = [truth.select("i", F.when(F.col("i") % 13 == k, 1 - F.col("label")).otherwise(F.col("label")).alias("label")) for k in range(2)] + [truth, truth]
+    lab = X.hierarchical_consensus(runs, 40, 2).join(truth.select("i", F.col("label").alias("t")), "i")
+    return X.nmi(lab, "t", "label").select((F.col("nmi") > 0.5).alias("found"))
+
+
+@query("sweep_top10", f"WITH {_TIMES} SELECT dataset, CAST(max(nmi) AS BIGINT) AS nmi, count(*) AS n FROM t GROUP BY dataset ORDER BY count(*) DESC, dataset LIMIT 10")
+def sweep_top10(spark, sf):
+    d = _times(spark, sf).groupBy("dataset").agg(F.max("nmi").cast("long").alias("nmi"), F.count("*").alias("n"))
+    return d.orderBy(F.desc("n"), "dataset").limit(10)
+
+
+@query("zero_expand", "SELECT CAST(k AS BIGINT) AS i, CASE WHEN k % 3 = 0 THEN 0.0 ELSE CAST(k AS DOUBLE) END AS v FROM range(30) t(k)")
+def zero_expand(spark, sf):
+    """Vectors of the packed rows back at their old places, zeros between."""
+    cells = spark.range(30).where("id % 3 <> 0").select(F.col("id").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(1.0).alias("v"))
+    packed, rows, _ = E.strip_zeros(CoMatrix(cells, 30, 1))
+    vectors = rows.select(F.col("new").alias("i"), F.array(F.col("old").cast("double")).alias("x"))
+    return E.expand(vectors, rows, 30, 1).select("i", F.col("x")[0].alias("v"))
+
+
 # -- models: quality against planted or known truth -----------------------------------------------------------------------------------
 
 

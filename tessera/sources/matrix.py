@@ -101,6 +101,10 @@ class CoMatrix:
         d = self.df.join(r, "i").join(c, "j").select(F.col("ri").alias("i"), F.col("cj").alias("j"), "v")
         return CoMatrix(d, len(rows), len(cols))
 
+    def chunks(self, rows: int) -> DataFrame:
+        """(chunk, i, j, v): row chunks of a fixed height, to be grouped and processed one by one."""
+        return self.df.select(F.expr(f"i div {int(rows)}").alias("chunk"), "i", "j", "v")
+
     def transpose(self) -> CoMatrix:
         return CoMatrix(self.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), self.n_cols, self.n_rows)
 
