@@ -73,12 +73,12 @@ def is_zero_vector(x: Column) -> Column:
 
 def strip_zeros(m: CoMatrix) -> tuple[CoMatrix, DataFrame, DataFrame]:
     """Rows and columns without a non-zero cell left out: the packed matrix and the (old, new) index tables."""
-    from ..sources.matrix import dictionary
+    from ..sources.matrix import indexed
 
     d = m.df.where(F.abs("v") > TINY)
-    rows, cols = (dictionary(d, c).select(F.col("key").alias("old"), F.col("idx").alias("new")) for c in ("i", "j"))
+    (rows, n), (cols, k) = ((x.select(F.col("key").alias("old"), F.col("idx").alias("new")), n) for x, n in (indexed(d, "i"), indexed(d, "j")))
     packed = d.join(rows.select(F.col("old").alias("i"), F.col("new").alias("ri")), "i").join(cols.select(F.col("old").alias("j"), F.col("new").alias("cj")), "j")
-    return CoMatrix(packed.select(F.col("ri").alias("i"), F.col("cj").alias("j"), "v"), rows.count(), cols.count()), rows, cols
+    return CoMatrix(packed.select(F.col("ri").alias("i"), F.col("cj").alias("j"), "v"), n, k), rows, cols
 
 
 def expand(vectors: DataFrame, index: DataFrame, n: int, width: int) -> DataFrame:

@@ -78,10 +78,9 @@ def consensus_labels(coclusters: DataFrame, n_rows: int, k: int, max_iter: int =
     if ids.isEmpty():
         return spark.range(n_rows).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("label"))
     from ..session import cut
-    from ..sources.matrix import dictionary
+    from ..sources.matrix import indexed
 
-    d = dictionary(ids, "cid")
-    width = d.count()
+    d, width = indexed(ids, "cid")
     m = coclusters.select("cid", F.explode("row_indices").alias("i")).join(d.select(F.col("key").alias("cid"), "idx"), "cid")
     sets = m.groupBy("i").agg(F.collect_set("idx").alias("s"))
     rows = spark.range(n_rows).select(F.col("id").alias("i")).join(sets, "i", "left")

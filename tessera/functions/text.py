@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.matrix import CoMatrix, dictionary
+from ..session import cut
+from ..sources.matrix import CoMatrix, indexed
 
 
 def parse_smart(lines: DataFrame) -> DataFrame:
@@ -39,10 +40,10 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_d
 
 def doc_term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[CoMatrix, DataFrame, DataFrame]:
     """The TF-IDF matrix and its (key, idx) dictionaries of documents and terms."""
-    cells = tfidf(docs, id_col, text_col, **options)
-    rows, cols = dictionary(cells, "doc"), dictionary(cells, "term")
+    cells = cut(tfidf(docs, id_col, text_col, **options))
+    (rows, n), (cols, k) = indexed(cells, "doc"), indexed(cells, "term")
     d = cells.join(rows.select(F.col("key").alias("doc"), F.col("idx").alias("i")), "doc").join(cols.select(F.col("key").alias("term"), F.col("idx").alias("j")), "term")
-    return CoMatrix(d.select("i", "j", "v"), rows.count(), cols.count()), rows, cols
+    return CoMatrix(d.select("i", "j", "v"), n, k), rows, cols
 
 
 def dense_variance(m: CoMatrix) -> DataFrame:

@@ -29,10 +29,10 @@ def read_csv(spark: SparkSession, path: str, n_cols: int, header: bool = True) -
     """
     schema = ", ".join(f"c{k} double" for k in range(n_cols))
     d = spark.read.csv(path, header=header, schema=schema, enforceSchema=True).select(F.monotonically_increasing_id().alias("m"), F.array(*[f"c{k}" for k in range(n_cols)]).alias("x"))
-    from .matrix import dictionary
+    from .matrix import indexed
 
-    rows = dictionary(d, "m").select(F.col("key").alias("m"), F.col("idx").alias("i"))
-    n_rows = rows.count()
+    rows, n_rows = indexed(d, "m")
+    rows = rows.select(F.col("key").alias("m"), F.col("idx").alias("i"))
     return CoMatrix.from_rows(d.join(rows, "m"), "i", "x", n_rows, n_cols)
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 COO = "i long, j long, v double"
 
 
@@ -41,9 +43,9 @@ class CoMatrix:
     def from_table(cls, df: DataFrame, row: Column | str, col: Column | str, value: Column | str) -> CoMatrix:
         """Sum of ``value`` by (row, col) of a table; keys become indices in their sorted order."""
         t = df.select((F.col(row) if isinstance(row, str) else row).alias("r"), (F.col(col) if isinstance(col, str) else col).alias("c"), (F.col(value) if isinstance(value, str) else value).cast("double").alias("v"))
-        cells = t.where("r is not null and c is not null").groupBy("r", "c").agg(F.sum("v").alias("v"))
-        rows, cols = dictionary(cells, "r"), dictionary(cells, "c")
-        n_rows, n_cols = rows.count(), cols.count()
+        # Stored once: the dictionaries and every later pass read the summed cells, not the table's joins.
+        cells = cut(t.where("r is not null and c is not null").groupBy("r", "c").agg(F.sum("v").alias("v")))
+        (rows, n_rows), (cols, n_cols) = indexed(cells, "r"), indexed(cells, "c")
         d = cells.join(rows.select(F.col("key").alias("r"), F.col("idx").alias("i")), "r").join(cols.select(F.col("key").alias("c"), F.col("idx").alias("j")), "c")
         return cls(d.select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v")), n_rows, n_cols)
 
@@ -137,20 +139,29 @@ class CoMatrix:
         return x
 
 
-def dictionary(df: DataFrame, key: str) -> DataFrame:
-    """(key, idx): dense indices from 0 in the keys' order.
+def indexed(df: DataFrame, key: str, small: int = 200_000) -> tuple[DataFrame, int]:
+    """(key, idx) with dense indices from 0 in the keys' order, and the number of keys.
 
-    Keys are range-partitioned and numbered within each partition; offsets are the counts of earlier partitions. No
-    single task sorts all keys.
+    Up to ``small`` keys are numbered in one task. More are range-partitioned and numbered within each partition, offset
+    by the counts of earlier partitions, so no task sorts all keys.
     """
     keys = df.select(F.col(key).alias("key")).distinct()
+    count = keys.count()
+    if count <= small:
+        return keys.select("key", (F.row_number().over(W.orderBy("key")).cast("long") - 1).alias("idx")), count
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    d = keys.repartitionByRange(n, "key").withColumn("p", F.spark_partition_id())
+    # Stored first: the partition numbers must be the same wherever they are read.
+    d = cut(keys.repartitionByRange(n, "key").withColumn("p", F.spark_partition_id()))
     d = d.withColumn("k", F.row_number().over(W.partitionBy("p").orderBy("key")).cast("long") - 1)
     sizes = d.groupBy("p").agg(F.count("*").alias("c"))
     # One row per partition.
     offsets = sizes.select("p", F.coalesce(F.sum("c").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("o"))
-    return d.join(F.broadcast(offsets), "p").select("key", (F.col("k") + F.col("o")).alias("idx"))
+    return d.join(F.broadcast(offsets), "p").select("key", (F.col("k") + F.col("o")).alias("idx")), count
+
+
+def dictionary(df: DataFrame, key: str) -> DataFrame:
+    """(key, idx) of ``indexed``."""
+    return indexed(df, key)[0]
 
 
 def index_table(spark: SparkSession, idx: Sequence[int], name: str, place: str) -> DataFrame:

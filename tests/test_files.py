@@ -62,3 +62,11 @@ def test_smart_records(spark):
     raw = ".I 1\n.T\nA title\n.A\nSomeone\n.W\nBody of\ntext\n.I 2\n.W\nOther\n"
     d = {r["doc"]: r for r in T.parse_smart(spark.createDataFrame([(raw,)], "value string")).collect()}
     assert d[1]["title"] == "A title" and d[1]["author"] == "Someone" and d[1]["body"] == "Body of text" and d[2]["body"] == "Other" and d[2]["title"] == ""
+
+
+def test_dictionary_paths_agree(spark):
+    from tessera.sources.matrix import indexed
+
+    d = spark.range(500).select((F.col("id") * 37 % 211).alias("x"))
+    one, two = (sorted(map(tuple, indexed(d, "x", small)[0].collect())) for small in (1000, 10))
+    assert one == two == [(k, k) for k in range(211)]
