@@ -206,7 +206,7 @@ for _kind, _w in (("nbvd", 0.0), ("onm3f", 0.0), ("onmtf", 0.0), ("pnmtf", 0.1))
 def _error_sql() -> str:
     m = SqlMatrix(NB, "x AS (SELECT i AS r, j AS c, v FROM nb)", "f AS (SELECT i AS r, a AS c, 1 + ((i * 7 + a * 3) % 5) / 5 AS v FROM range(25) t(i), range(3) u(a))", "g AS (SELECT i AS r, a AS c, 1 + ((i * 7 + a * 3) % 5) / 5 AS v FROM range(25) t(i), range(2) u(a))", "s AS (SELECT CAST(a AS BIGINT) AS r, CAST(b AS BIGINT) AS c, CAST(CASE WHEN a = b THEN 2 ELSE 1 END AS DOUBLE) AS v FROM range(3) t(a), range(2) u(b))")
     y = m.mul(m.mul("f", "s"), m.t("g"))
-    return m.query(f"SELECT round(sum((x.v - y.v) * (x.v - y.v)) / 1e6, 4) AS error, (SELECT round(sum(t * t) - sum(q), 4) FROM (SELECT sum(v) AS t, sum(v * v) AS q FROM f GROUP BY r)) AS penalty FROM x JOIN {y} y USING (r, c)")
+    return m.query(f"SELECT round(sum((coalesce(x.v, 0) - y.v) * (coalesce(x.v, 0) - y.v)) / 1e6, 4) AS error, (SELECT round(sum(t * t) - sum(q), 4) FROM (SELECT sum(v) AS t, sum(v * v) AS q FROM f GROUP BY r)) AS penalty FROM {y} y LEFT JOIN x USING (r, c)")
 
 
 @query("reconstruction_error", _error_sql())
