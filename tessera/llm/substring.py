@@ -218,7 +218,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def repeated_windows(keyed: DataFrame, length: int = 35, group: int = 5000) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(keyed: DataFrame, length: int = 35, group: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Of (_k1, _k2, text): the texts dealt by key, and the runs (_k1, _k2, s, e) of repeated window starts."""
     small_batches(keyed.sparkSession)
     texts = keyed.repartition(parts(keyed.sparkSession), "_k1", "_k2")
@@ -265,7 +265,7 @@ def _cut(length: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, group: int = 5000, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, group: int = 1000, with_text: bool = True) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, and kept (the words left, joined by one space) with spans
     (word positions start, end, start, end, ... of the maximal repeats) or, without texts, the SHA-256 of kept.
 
