@@ -113,7 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                 cs.append([sorted(place[f] for f in features_of(c) if f in place) for c in counterfactuals(words)])
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(fs, longs), pa.array(cs, pa.list_(longs))], ["y", "f", "c"])
 
-    seen = rows.select("t", "y").mapInArrow(project, "y int, f array<int>, c array<array<int>>").orderBy("y", "f", "c").toArrow().to_pylist()
+    # At most a row per sampled label, unless ids repeat; the limit bounds that too, and no shuffle is needed for it.
+    seen = rows.select("t", "y").mapInArrow(project, "y int, f array<int>, c array<array<int>>").orderBy(F.desc("y"), "f", "c").limit(2 * sample).toArrow().to_pylist()
     if not names or not seen:
         return {}, math.log((pos + 0.5) / (n - pos + 0.5))
     x = Sparse([(r["f"], np.ones(len(r["f"]))) for r in seen], len(names))
