@@ -122,7 +122,7 @@ def merge_tree(leaves: DataFrame, n_leaves: int, config: MergeConfig = MergeConf
     size = pad_to_power_of_two(n_leaves)
     spark = leaves.sparkSession
     rounds = [level.agg(F.lit(0).alias("round"), F.count("*").alias("num_clusters"), F.lit(0.0).alias("avg_merge_score"), F.lit(0).cast("long").alias("num_merges"))]
-    k = 0
+    k, width = 0, level.agg(F.coalesce(F.max("pos"), F.lit(0)) + 1).first()[0]
     while size > 1:
         k, size = k + 1, size // 2
         counts = level.groupBy(F.shiftright("node", 1).alias("node")).agg(F.count_if(F.col("node") % 2 == 0).alias("l"), F.count_if(F.col("node") % 2 == 1).alias("r"))
@@ -140,14 +140,13 @@ def merge_tree(leaves: DataFrame, n_leaves: int, config: MergeConfig = MergeConf
         else:
             first = up.groupBy("node", "row_indices", "col_indices").agg(F.min(F.struct("side", "pos")).alias("at"))
             # Order: left before right, then the old place; gaps are harmless.
-            width = level.agg(F.coalesce(F.max("pos"), F.lit(0)) + 1).first()[0]
             new = first.select("node", (F.col("at.side") * F.lit(width) + F.col("at.pos")).alias("pos"), "row_indices", "col_indices")
             kept = new.groupBy("node").agg(F.count("*").alias("kept"))
             t = nodes.join(kept, "node", "left").na.fill(0, ["kept"])
             l, r, n = F.col("l"), F.col("r"), F.col("l") + F.col("r")  # noqa: E741
             score = {"union": F.when(n > 0, F.col("kept") / n).otherwise(0.0), "weighted": weighted_score(l, r, config.left_weight, config.right_weight), "adaptive": adaptive_score(l, r, F.col("kept"))}[config.strategy]
             scored = t.select(score.cast("double").alias("score"))
-        level = cut(new)
+        level, width = cut(new), 2 * width  # places of the next level
         rounds.append(level.agg(F.count("*").alias("num_clusters")).crossJoin(scored.agg(F.avg("score").alias("avg_merge_score"), F.count("*").alias("num_merges"))).select(F.lit(k).alias("round"), "num_clusters", "avg_merge_score", "num_merges"))
     return level.select("pos", "row_indices", "col_indices"), reduce(DataFrame.unionAll, rounds)
 
