@@ -22,8 +22,6 @@ def check(rows, got, window):
     for (i, _), ids in zip(rows, want.values()):
         by_id.setdefault(i, []).append(ids)
     seqs = {}
-    for i, (d, ids) in enumerate((k, x) for k, v in by_id.items() for x in v):
-        pass
     left = {k: sorted(map(tuple, v)) for k, v in by_id.items()}
     pieces = {}
     for p in got:
