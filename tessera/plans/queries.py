@@ -630,6 +630,13 @@ for _name, _model_ in (
     _model(_name, _model_)
 
 
+@query("scc_sparse", f"WITH {CP} SELECT count(DISTINCT i) AS rows_assigned, count(DISTINCT j) AS cols_assigned FROM cp WHERE v > 1e-15")
+def scc_sparse(spark, sf):
+    """Distributed spectral co-clustering of customers by parts: all rows and columns with a cell get a label."""
+    d = SVDClusterer(4).labels(cust_part(spark, sf)).where("label is not null")
+    return d.agg(F.count_if(F.col("axis") == "row").alias("rows_assigned"), F.count_if(F.col("axis") == "col").alias("cols_assigned"))
+
+
 @query("local_pnmtf", "SELECT true AS found")
 def local_pnmtf(spark, sf):
     return _agree(LocalModel(A.Pnmtf(_TRI, 0.1, 0.1, 0.1)).labels(S.block_diagonal(spark)), S.planted_labels(spark, 20, 2))

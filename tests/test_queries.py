@@ -6,7 +6,7 @@ import pytest
 from tessera.plans import queries as Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
-SLOW = {"power_iteration_sigma1", "randomized_svd_residual", "sign_partition", "scc_labels", "spectral_cocluster", "global_fnmf", "global_nbvd", "divide_merge_scc", "divide_merge_nbvd"}
+SLOW = {"scc_sparse", "power_iteration_sigma1", "randomized_svd_residual", "sign_partition", "scc_labels", "spectral_cocluster", "global_fnmf", "global_nbvd", "divide_merge_scc", "divide_merge_nbvd"}
 
 
 @pytest.fixture(scope="module")
