@@ -11,6 +11,12 @@ up to billions of distinct fingerprints, where keys of one 16-bit block would pa
 Scale: equal fingerprints are collapsed first (map-side combined), so copies cost one row. Keys held by one fingerprint
 are dropped by an aggregate. Keys with more than ``tile`` fingerprints are dealt out as tile pairs, so no task holds an
 unbounded group, and each task keeps only a spanning forest of the links that it verifies. Links never reach the driver.
+
+``keep_one`` has a rule of its own: two texts are near copies if the Jaccard similarity of their sets of 5-word shingles
+is at least 0.8. At 0.8 SimHash values lie about 10 of 64 bits apart and often more than 15; blocks that two such values
+must share are too short to be keys. Candidates come from MinHash bands instead (28 bands of 6 values: a pair at 0.8 is
+missed with probability 0.0002, at 0.9 with 1e-9), and every link is verified on the exact sets. A band's texts
+are compared with its least first; only those that are still in different components then meet each other.
 """
 
 from __future__ import annotations
@@ -157,20 +163,89 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns of ``docs`` are not read. An empty table gives an empty result.
     """
     fps = store(fingerprints(docs, id_col, text_col, size), "fp")
-    rooted = components(links(fps, distance), "fp", "root")
+    return _labelled(fps, components(links(fps, distance), "fp", "root")).withColumnRenamed("id", id_col)
+
+
+def _labelled(fps: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(id, fp, component_id) from (id, fp) and the (node, root) of the linked values of fp."""
     least = fps.groupBy("fp").agg(F.min("id").alias("least"))
     named = least.join(rooted.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     label = named.join(roots, "root").select("fp", "component_id")
-    return fps.join(label, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return fps.join(label, "fp").select("id", "fp", "component_id")
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
+    """(id, fp, keys, shingles) for each row: the sorted distinct shingle hashes, their XXH64 and the band keys.
+
+    A text without words has no shingle and no key; all of those share one fp.
+    """
+    small_batches(docs.sparkSession, 200)
+    r = np.random.default_rng(SEED)
+    mul = r.integers(1 << 63, size=(bands * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    add = r.integers(1 << 63, size=(bands * rows, 1), dtype=np.uint64)
+
+    def keys(h: np.ndarray) -> list[int]:
+        if not len(h):
+            return []
+        low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(h), 1024):
+            np.minimum(low, (h[None, at : at + 1024] * mul + add).min(axis=1), out=low)
+        raw, width = low.tobytes(), 8 * rows
+        return [xxhash.xxh64_intdigest(raw[k * width : (k + 1) * width], k) for k in range(bands)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), size)) for t in b.column(1)]
+            fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            band = [np.array(keys(h), np.uint64).view(np.int64) for h in sets]
+            lists = (pa.array(x, pa.list_(pa.int64())) for x in (band, [h.view(np.int64) for h in sets]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *lists], ["id", "fp", "keys", "shingles"])
+
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    return d.mapInArrow(run, "id long, fp long, keys array<long>, shingles array<long>")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` less near-duplicates: of each component the row with the smallest id stays.
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose shingle sets have at least this Jaccard similarity."""
+    pairs = store(pairs.distinct(), "candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    held = store(sets.select("fp", "shingles").join(ends, "fp", "left_semi").distinct(), "sets")
+    d = pairs.join(held.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    d = d.select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("all"))
+    return store(d.where(F.col("both") >= similarity * F.col("all") - 1e-9).select("a", "b"), "similar")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, size: int = 5, bands: int = 28, rows: int = 6) -> DataFrame:
+    """(id, fp, component_id) for every row; rows whose shingle sets have Jaccard ``similarity`` or more are linked.
+
+    Texts with equal shingle sets share fp, texts without words too; nulls and repeated rows as in ``near_duplicates``.
+    """
+    sets = store(shingle_sets(docs, id_col, text_col, size, bands, rows), "shingles")
+    keyed = sets.select("fp", F.size("shingles").alias("n"), "keys").distinct().select("fp", "n", F.explode("keys").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select("key", "least")
+    held = store(keyed.join(least, "key"), "bands")
+    first = _similar(held.where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")), sets, similarity)
+    rooted = components(first, "a", "b")
+    # What a band's least did not connect: members of different components meet each other, unless their sizes rule it out.
+    left = held.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    mixed = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    left = store(left.where("fp <> least").join(mixed, "key").select("key", "fp", "n", "root"), "rest")
+    x, y = left.select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), left.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9))
+    more = _similar(pairs.select("a", "b"), sets, similarity)
+    if not more.isEmpty():
+        rooted = components(first.union(more), "a", "b")
+    return _labelled(sets.select("id", "fp"), rooted).withColumnRenamed("id", id_col)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """The rows of ``docs`` less near copies: of each component of ``near_copies`` the row with the smallest id stays.
 
     Rows with a null id stay only if their component has no other; of repeated rows with one id, all stay or none.
     """
-    d = near_duplicates(docs, id_col, text_col, distance)
+    d = near_copies(docs, id_col, text_col, similarity, size)
     stays = F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id")))
     # Stored, so that Spark knows the size: a few ids are broadcast and the texts stay; many are joined by shuffle.
     gone = store(d.groupBy(F.col(id_col).alias("_id")).agg(stays.alias("stays")).where("not stays").select("_id"), "gone")

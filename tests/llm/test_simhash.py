@@ -78,3 +78,36 @@ def test_empty_and_keep_one(spark):
     assert S.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(2, "a b c d", "", ""), (1, "a b c d", "", ""), (3, "something else it is", "", "")], SCHEMA)
     assert sorted(x.doc_id for x in S.keep_one(df).collect()) == [1, 3]
+
+
+def test_near_copies_reach_five_word_similarity(spark):
+    r = random.Random(11)
+    vocab = [f"v{i}" for i in range(5000)]
+    rows = []
+    for _ in range(25):
+        words = r.choices(vocab, k=r.randrange(60, 400))
+        rows.append(" ".join(words))
+        for edits in (1, 2, 3, 5, 8):
+            w = list(words)
+            for at in r.sample(range(len(w)), edits):
+                w[at] = r.choice(vocab).upper()
+            rows.append(" ".join(w))
+    rows += [rows[0], rows[0].upper(), "", None, "one", "One", "one two"]
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, comp = [grams(t) for t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if same and comp[i] != comp[j]:
+                lo, hi = sorted((comp[i], comp[j]))
+                comp = [lo if c == hi else c for c in comp]
+    df = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(rows)], SCHEMA)
+    got = {x.doc_id: x.component_id for x in S.near_copies(df).collect()}
+    assert got == dict(enumerate(comp))
+    assert {x.doc_id for x in S.keep_one(df).collect()} == set(comp)
+    # The three-bit rule leaves near copies that this one takes out.
+    assert S.near_duplicates(df).where("doc_id = component_id").count() > len(set(comp))
