@@ -3,14 +3,15 @@
 Two histograms of each document are compared with the reference of its language by Jensen-Shannon distance (base 2, so
 between 0 and 1): character classes over the bytes of the text, and the language's common words with one bin for all
 others. References are counted over the whole corpus: class counts are summed, and a language's common words are its
-``common`` most frequent words of up to ``word_bytes`` bytes, lower-cased (A-Z) and stripped of ``.,;:!?``. Below
+``common`` most frequent words of any length, lower-cased (A-Z) and stripped of ``.,;:!?``. Below
 ``min_chars`` bytes or ``min_words`` words a distance says little, so it is not judged.
 
 Plain counts (symbols, repeated lines, repeated five-word windows) form the base rule beside it.
 
-Two scans: the first sends partial counts per batch, the second scores each document on its own. Nothing else is
-shuffled. References have a bounded size: ``max_langs`` languages (the most frequent) of len(CLASSES) + ``common`` rows,
-and one over all documents for any further language and for null.
+Two scans: the first sends partial counts per batch, the second scores each document on its own. Every language has a
+reference of len(CLASSES) + ``common`` rows; a null language has that of all documents, null ones included. Up to
+``max_langs`` languages are sent to the tasks, and nothing but counts is shuffled; more are joined to the documents by
+language, with the same result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, store
 
 CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "other", "wide")
 SYMBOLS = b"#*$%&|<>"
@@ -46,7 +47,6 @@ class Rules:
     min_chars: int = 200
     min_words: int = 50
     common: int = 50
-    word_bytes: int = 6
     max_langs: int = 64
 
 
@@ -74,10 +74,10 @@ def _repeat_words(words: list[bytes], size: int = 5) -> int:
     return int((np.cumsum(cover[:-1]) > 0).sum())
 
 
-def _common_counts(words: list[bytes], most: int) -> Counter:
+def _common_counts(words: list[bytes]) -> Counter:
     out: Counter = Counter()
     for w, n in Counter(words).items():
-        if len(w) <= most + 4 and (x := w.translate(_LOW).strip(b".,;:!?")) and len(x) <= most:
+        if x := w.translate(_LOW).strip(b".,;:!?"):
             out[x] += n
     return out
 
@@ -99,7 +99,7 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def reference_counts(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, word, n): class counts as word ``#class`` and common-word counts by language; ``*`` is all words."""
+    """(lang, word, n): class counts as word `` class`` and word counts by language; `` *`` is all words. No word has a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,9 +107,9 @@ def reference_counts(docs: DataFrame, rules: Rules = Rules(), text_col: str = "t
             for t, lang in zip(b.column(0), b.column(1), strict=True):
                 raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 c, words = total.setdefault(lang.as_py(), Counter()), raw.split()
-                c.update({b"#" + k.encode(): int(n) for k, n in zip(CLASSES, _classes(raw)[1], strict=True) if n})
-                c.update(_common_counts(words, rules.word_bytes))
-                c[b"*"] += len(words)
+                c.update({b" " + k.encode(): int(n) for k, n in zip(CLASSES, _classes(raw)[1], strict=True) if n})
+                c.update(_common_counts(words))
+                c[b" *"] += len(words)
             rows = [(k, w.decode("utf-8", "replace"), n) for k, c in total.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "n"])
 
@@ -118,32 +118,46 @@ def reference_counts(docs: DataFrame, rules: Rules = Rules(), text_col: str = "t
     return by_lang.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def references(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> dict:
-    """lang -> (class counts, common words, their counts, all words); None is the reference over all documents."""
-    counts = reference_counts(docs, rules, text_col, lang_col).where("lang is not null")
-    kind = F.when(F.col("word").rlike("^#(" + "|".join(CLASSES) + ")$") | (F.col("word") == "*"), 0).otherwise(1)
+def _best(counts: DataFrame, rules: Rules) -> DataFrame:
+    """(lang, rows): the class counts, the number of words and the most frequent words of each language."""
+    c = counts.withColumn("kind", F.when(F.col("word").startswith(" "), 0).otherwise(1))
     # Rows beyond the first in a group are cut in each task before the shuffle.
     best = W.partitionBy("lang", "kind").orderBy(F.desc("n"), "word")
-    c = counts.withColumn("kind", kind).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.lit(max(rules.common, len(CLASSES) + 1)))
-    langs = counts.where("word = '*'").orderBy(F.desc("n"), "lang").limit(rules.max_langs).select("lang")
-    found: dict = {}
-    for r in c.join(F.broadcast(langs), "lang").where((F.col("kind") == 0) | (F.col("rank") <= rules.common)).select("lang", "word", "n", "kind").collect():
-        classes, words = found.setdefault(r[0], (np.zeros(len(CLASSES)), {}))
-        if r[3]:
-            words[r[1].encode("utf-8", "surrogatepass")] = r[2]
-        elif r[1] != "*":
-            classes[CLASSES.index(r[1][1:])] += r[2]
+    c = c.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.lit(max(rules.common, len(CLASSES) + 1)))
+    c = c.where((F.col("kind") == 0) | (F.col("rank") <= rules.common))
+    return c.groupBy("lang").agg(F.collect_list(F.struct("word", "n")).alias("rows"))
+
+
+def _reference(rows: list) -> tuple:
+    """(class counts, common words, their counts, all words) from the (word, n) of one language."""
+    classes, words, total = np.zeros(len(CLASSES)), {}, 0
+    for word, n in rows:
+        if word == " *":
+            total = n
+        elif word.startswith(" "):
+            classes[CLASSES.index(word[1:])] = n
         else:
-            words[b"*"] = r[2]
+            words[word.encode("utf-8", "surrogatepass")] = n
+    names = sorted(words)
+    n = np.array([words[w] for w in names], float)
+    return classes, {w: i for i, w in enumerate(names)}, np.append(n, max(0, total - n.sum()))
+
+
+def references(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> tuple[dict, DataFrame | None]:
+    """lang -> (class counts, common words, their counts, all words), None for the one over all documents; and, with more
+    than ``max_langs`` languages, theirs as (lang, rows) in a table instead."""
+    counts = store(reference_counts(docs, rules, text_col, lang_col), "counts")
+    every = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "word", "n")
+    # The most frequent words of all, before the window: its one group would be a single task over the vocabulary.
+    top = every.where(~F.col("word").startswith(" ")).orderBy(F.desc("n"), "word").limit(rules.common)
     out: dict = {}
-    for lang, (classes, words) in found.items():
-        total = words.pop(b"*", 0)
-        names = sorted(words)
-        n = np.array([words[w] for w in names], float)
-        out[lang] = (classes, {w: i for i, w in enumerate(names)}, np.append(n, max(0, total - n.sum())))
-    if out:
-        out[None] = (sum(v[0] for v in out.values()), {}, np.array([1.0]))
-    return out
+    whole = [(r.word, r.n) for r in top.union(every.where(F.col("word").startswith(" "))).collect()]
+    if whole:
+        out[None] = _reference(whole)
+    table = store(_best(counts.where("lang is not null"), rules), "references")
+    if table.count() > rules.max_langs:
+        return out, table
+    return out | {r.lang: _reference(r.rows) for r in table.collect()}, None
 
 
 SCORE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
@@ -163,7 +177,7 @@ def _score(text: str | None, lang: str | None, refs: dict, rules: Rules) -> tupl
             d_class = js_distance(classes, ref[0])
         if len(words) >= rules.min_words and ref[1]:
             own = np.zeros(len(ref[2]))
-            for w, n in _common_counts(words, rules.word_bytes).items():
+            for w, n in _common_counts(words).items():
                 if (i := ref[1].get(w)) is not None:
                     own[i] += n
             own[-1] = len(words) - own.sum()
@@ -175,20 +189,30 @@ def _score(text: str | None, lang: str | None, refs: dict, rules: Rules) -> tupl
 def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: id, the counts, base_failed, the two distances (null where not judged) and kept.
 
-    Null texts count as empty: no word, base_failed. A null or unknown language is compared with the class counts of all
+    Null texts count as empty: no word, base_failed. A null language is compared with the reference of all
     documents. Repeated rows and null ids stay; an empty table gives an empty result; other columns are not read.
     """
     small_batches(docs.sparkSession)
-    refs = references(docs, rules, text_col, lang_col)
+    refs, table = references(docs, rules, text_col, lang_col)
+    joined = table is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
+        own = dict(refs)
         for b in batches:
-            rows = [_score(t.as_py(), x.as_py(), refs, rules) for t, x in zip(b.column(1), b.column(2), strict=True)]
+            if joined:
+                if len(own) > 1000:
+                    own = dict(refs)
+                for k, x in enumerate(b.column(2)):
+                    if (lang := x.as_py()) not in own and lang is not None:
+                        own[lang] = _reference([(r["word"], r["n"]) for r in b.column(3)[k].as_py()])
+            rows = [_score(t.as_py(), x.as_py(), own, rules) for t, x in zip(b.column(1), b.column(2), strict=True)]
             cols = zip(*rows, strict=True) if rows else [()] * 9
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], ["id", *(x.split()[0] for x in SCORE.split(", "))])
 
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    if joined:
+        d = d.join(table, "lang", "left").select("id", "text", "lang", "rows")
     return d.mapInArrow(run, "id long, " + SCORE).withColumnRenamed("id", id_col)
 
 

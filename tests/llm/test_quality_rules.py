@@ -41,3 +41,18 @@ def test_divergence_tells_junk_from_prose(spark):
 
 def test_empty(spark):
     assert Q.quality_rules(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_every_language_and_null_has_common_words(spark):
+    r = random.Random(6)
+    common = ["который", "потому", "сегодня", "#lower"]
+    prose = lambda: " ".join(r.choice(common) if r.random() < 0.6 else "".join(r.choices("абвгдежз", k=7)) for _ in range(80))
+    junk = lambda: " ".join("".join(r.choices("клмн", k=7)) for _ in range(80))
+    langs = [f"l{i}" for i in range(6)] + [None]
+    rows = [(100 * k + i, prose() if i < 12 else junk(), x, "", "") for k, x in enumerate(langs) for i in range(13)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    few = {x.doc_id: x for x in Q.quality_rules(df, Q.Rules(max_langs=3)).collect()}
+    assert few == {x.doc_id: x for x in Q.quality_rules(df).collect()}
+    assert all(x.word_distance is not None and x.kept == (i % 100 < 12) for i, x in few.items())
+    alone = Q.quality_rules(df.where("lang is null")).collect()
+    assert all(x.word_distance is not None and x.kept == (x.doc_id % 100 < 12) for x in alone)
