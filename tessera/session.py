@@ -31,5 +31,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder that spark.checkpoint.dir names (a temporary one only where it is unset)."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)
