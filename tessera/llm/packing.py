@@ -18,6 +18,8 @@ plus the count in earlier parts, so a length that a third of all documents have
 from __future__ import annotations
 
 import base64
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, store
+from .common import small, store
 
 EOT = 1
 
@@ -40,26 +42,34 @@ def default_tokenizer() -> str:
 
 
 _ENCODERS: dict = {}
+#: tiktoken's pattern engine recurses over white space, so texts with longer runs of it go to the tokenizers library.
+_LONG_SPACE = re.compile(r"\s{1000}").search
 
 
 def encoder(path: str):
-    """text -> ids. A byte-level BPE file of the tokenizers library is run by tiktoken if its ranks lie beside it: the
-    ids are the same (a test compares them) at a fourth of the time; else the tokenizers library itself is used."""
+    """text -> the ids that the tokenizers library gives for the file, without added special tokens.
+
+    A byte-level BPE file is run by tiktoken if its ranks lie beside it: the ids are the same (a test compares them) at a
+    fourth of the time. Texts that hold the literal of one of the file's added tokens, which the library maps to that
+    token's id, and texts with long runs of white space are encoded by the library itself.
+    """
     if path not in _ENCODERS:
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        plain = lambda text: whole.encode(text, add_special_tokens=False).ids
         ranks = path.removesuffix(".json") + ".tiktoken"
-        try:
+        if os.path.exists(ranks):
             import public_tokenizers
             import tiktoken
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            _ENCODERS[path] = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        except (ImportError, FileNotFoundError):
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
-            _ENCODERS[path] = lambda text: t.encode(text, add_special_tokens=False).ids
+            fast = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+            added = [t.content for t in whole.get_added_tokens_decoder().values()]
+            _ENCODERS[path] = lambda text: plain(text) if any(x in text for x in added) or _LONG_SPACE(text) else fast(text)
+        else:
+            _ENCODERS[path] = plain
     return _ENCODERS[path]
 
 
@@ -70,7 +80,7 @@ def _scan(window: int, tokenizer: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
         full, ranks = 0, np.zeros(window, np.int64)
-        for b in batches:
+        for b in small(batches):
             rows: list[list] = [[] for _ in range(7 + with_ids)]
             for t in b.column(1):
                 ids = np.array([*encode((t.as_py() or "")), EOT], "<u4")
@@ -200,22 +210,26 @@ class Plan:
 
 def _assign(plan: Plan, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d = b.to_pydict()
-            out: list[tuple] = []
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids]
+        for b in small(batches):
+            n, rems, ranks, first = (b.column(k).to_pylist() for k in ("n", "rem", "rank", "full_first"))
+            source, rows, ids = [], [], []
             for k in range(b.num_rows):
-                n, rem, full = d["n"][k], d["rem"][k], d["full_crc"][k]
-                pieces = [(plan.window * i, plan.window, crc, d["full_first"][k] + i, 0) for i, crc in enumerate(full)]
-                if rem:
-                    cuts, at = plan.place(rem, d["rank"][k]), plan.window * len(full)
-                    crcs = [d["rem_crc"][k]] if len(cuts) == 1 else d["cut_crc"][k]
-                    pieces += [(at + s, m, crc, seq, o) for (s, m, seq, o), crc in zip(cuts, crcs, strict=True)]
-                for s, m, crc, seq, o in pieces:
-                    row = (d["doc_id"][k], s, m, crc, n, seq, o)
-                    out.append((*row, d["ids"][k][s : s + m]) if with_ids else row)
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids]
-            cols = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64()) if c == "ids" else pa.int64()) for x, c in zip(cols, names, strict=True)], names)
+                full = b.column("full_crc")[k].as_py()
+                pieces = [(plan.window * i, plan.window, crc, n[k], first[k] + i, 0) for i, crc in enumerate(full)]
+                if rem := rems[k]:
+                    cuts, at = plan.place(rem, ranks[k]), plan.window * len(full)
+                    crcs = [b.column("rem_crc")[k].as_py()] if len(cuts) == 1 else b.column("cut_crc")[k].as_py()
+                    pieces += [(at + s, m, crc, n[k], seq, o) for (s, m, seq, o), crc in zip(cuts, crcs, strict=True)]
+                source += [k] * len(pieces)
+                rows += pieces
+                if with_ids:
+                    ids += [b.column("ids")[k].values.slice(s, m) for s, m, *_ in pieces]
+            cols = [pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [()] * 6)]
+            cols = [b.column("doc_id").take(pa.array(source, pa.int64())), *cols]
+            if with_ids:
+                cols.append(pa.array([x.to_pylist() for x in ids], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -227,7 +241,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     null or empty text has the end-of-text id only. An empty table gives an empty result. Other columns are not read.
     Sequences are full windows, or of a length that is a power of two; none needs padding.
     """
-    small_batches(docs.sparkSession)
     if window < 2 or window & (window - 1):
         raise ValueError("window must be a power of two")
     path = tokenizer or default_tokenizer()

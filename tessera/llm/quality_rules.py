@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, store
+from .common import small, store
 
 CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "other", "wide")
 SYMBOLS = b"#*$%&|<>"
@@ -102,7 +102,7 @@ def reference_counts(docs: DataFrame, rules: Rules = Rules(), text_col: str = "t
     """(lang, word, n): class counts as word `` class`` and word counts by language; `` *`` is all words. No word has a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             total: dict[str | None, Counter] = {}
             for t, lang in zip(b.column(0), b.column(1), strict=True):
                 raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
@@ -192,14 +192,13 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
     Null texts count as empty: no word, base_failed. A null language is compared with the reference of all
     documents. Repeated rows and null ids stay; an empty table gives an empty result; other columns are not read.
     """
-    small_batches(docs.sparkSession)
     refs, table = references(docs, rules, text_col, lang_col)
     joined = table is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
         own = dict(refs)
-        for b in batches:
+        for b in small(batches):
             if joined:
                 if len(own) > 1000:
                     own = dict(refs)

@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import importlib
-
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("simhash", "pii", "packing", "weak_quality", "toxicity", "substring", "warc", "mixing", "vafile", "quality_rules")
+from . import mixing, packing, pii, quality_rules, simhash, substring, toxicity, vafile, warc, weak_quality
 
+MODULES = (simhash, pii, packing, weak_quality, toxicity, substring, warc, mixing, vafile, quality_rules)
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    found = {}
-    for name in MODULES:
-        found |= importlib.import_module(f"tessera.llm.{name}").QUERIES
-    return found | {"pipeline": pipeline}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict:
-    found = {}
-    for name in MODULES:
-        found |= importlib.import_module(f"tessera.llm.{name}").ORACLE_SQL
-    return found
+    return {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, store
+from .common import small, store
 from .components import components
 
 SEED = 42
@@ -63,10 +63,9 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """(id, fp long) for each row; null texts count as empty."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             fp = np.array([fingerprint(t.as_py(), size) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
 
@@ -180,7 +179,6 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, bands:
 
     A text without words has no shingle and no key; all of those share one fp.
     """
-    small_batches(docs.sparkSession, 200)
     r = np.random.default_rng(SEED)
     mul = r.integers(1 << 63, size=(bands * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = r.integers(1 << 63, size=(bands * rows, 1), dtype=np.uint64)
@@ -195,7 +193,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, bands:
         return [xxhash.xxh64_intdigest(raw[k * width : (k + 1) * width], k) for k in range(bands)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 200):
             sets = [np.unique(shingle_hashes(t.as_py(), size)) for t in b.column(1)]
             fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
             band = [np.array(keys(h), np.uint64).view(np.int64) for h in sets]

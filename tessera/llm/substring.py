@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, row_key, small_batches
+from .common import parts, row_key, small
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _S1, _S2 = np.uint64(29), np.uint64(32)
@@ -220,7 +220,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_windows(keyed: DataFrame, length: int = 35, group: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Of (_k1, _k2, text): the texts dealt by key, and the runs (_k1, _k2, s, e) of repeated window starts."""
-    small_batches(keyed.sparkSession)
+
     texts = keyed.repartition(parts(keyed.sparkSession), "_k1", "_k2")
     anchors = keyed.select("_k1", "_k2", "text").mapInArrow(_anchors(length), "_k1 long, _k2 long, ph long, c int")
     often = anchors.groupBy("ph").agg(F.sum("c").alias("n")).where("n > 1")

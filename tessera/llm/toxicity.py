@@ -6,8 +6,8 @@ the identity term is swapped for others and for a neutral word; the squared chan
 so a mention of a group does not move the score by itself.
 
 Training uses at most ``sample`` labelled rows outside the held-out fold, the least by a hash of their id (bounded, so it
-is broadcast). Features that at least ``support`` toxic sample texts have are counted on the executors and the ``features``
-with the strongest log-odds are kept; only their occurrences in the sample reach the driver. Scoring is one scan without
+is broadcast). Features that at least ``support`` toxic sample texts have are counted on the executors, and of all these the
+``features`` with the strongest log-odds are kept; only their occurrences in the sample reach the driver. Scoring is one scan without
 a shuffle, with a weight table of bounded size.
 """
 
@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
+from .common import small
 from .linear import Sparse, fit, sigmoid
 
 #: Terms for groups of people that are swapped for one another, by kind, and a neutral stand-in.
@@ -66,7 +65,7 @@ def counterfactuals(words: set[str], groups=IDENTITY_TERMS, neutral: str = NEUTR
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from collections import Counter
 
-    for b in batches:
+    for b in small(batches):
         c: Counter = Counter()
         for t in b.column(0):
             c.update(features_of(words_of(t.as_py())))
@@ -82,7 +81,6 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     """Feature weights and intercept. Rows of ``labels`` in the held-out fold, with null ids or labels, are not used; of
     several labels for one id the greatest counts. With one class or no label at all, the weights are empty and the
     intercept is the smoothed log-odds of the labels seen."""
-    small_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -93,8 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     # At most ``sample`` rows of an id and a label: broadcasting them is bounded.
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(known), "_id")
     yes = rows.where("y = 1").select("t").mapInArrow(_counts, "f string, n long").groupBy("f").agg(F.sum("n").alias("p")).where(F.col("p") >= support)
-    yes = yes.orderBy(F.desc("p"), "f").limit(16 * features)
-    no = rows.where("y = 0").select("t").mapInArrow(_counts, "f string, n long").join(F.broadcast(yes.select("f")), "f", "left_semi").groupBy("f").agg(F.sum("n").alias("q"))
+    no = rows.where("y = 0").select("t").mapInArrow(_counts, "f string, n long").groupBy("f").agg(F.sum("n").alias("q"))
     p, q = F.col("p") + 0.5, F.coalesce("q", F.lit(0)) + 0.5
     rest_p, rest_q = F.greatest(F.lit(pos) - F.col("p"), F.lit(0)) + 0.5, F.greatest(F.lit(n - pos) - F.coalesce("q", F.lit(0)), F.lit(0)) + 0.5
     z = (F.log(p / rest_p) - F.log(q / rest_q)) / F.sqrt(1 / p + 1 / rest_p + 1 / q + 1 / rest_q)
@@ -104,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int32())
-        for b in batches:
+        for b in small(batches):
             ys, fs, cs = [], [], []
             for t, y in zip(b.column(0), b.column(1), strict=True):
                 words = words_of(t.as_py())
@@ -113,8 +110,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                 cs.append([sorted(place[f] for f in features_of(c) if f in place) for c in counterfactuals(words)])
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(fs, longs), pa.array(cs, pa.list_(longs))], ["y", "f", "c"])
 
-    # At most a row per sampled label, unless ids repeat; the limit bounds that too, and no shuffle is needed for it.
-    seen = rows.select("t", "y").mapInArrow(project, "y int, f array<int>, c array<array<int>>").orderBy(F.desc("y"), "f", "c").limit(2 * sample).toArrow().to_pylist()
+    # At most a row per sampled label, unless ids repeat; the limit bounds that too. A hash decides which rows stay then.
+    seen = rows.select("t", "y").mapInArrow(project, "y int, f array<int>, c array<array<int>>").orderBy(F.xxhash64("f", "c", "y"), "y", "f", "c").limit(2 * sample).toArrow().to_pylist()
     if not names or not seen:
         return {}, math.log((pos + 0.5) / (n - pos + 0.5))
     x = Sparse([(r["f"], np.ones(len(r["f"]))) for r in seen], len(names))
@@ -130,7 +127,7 @@ def score(docs: DataFrame, weights: dict[str, float], intercept: float, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has: dict[str, tuple[str, ...]] = {}
-        for b in batches:
+        for b in small(batches):
             out = []
             for t in b.column(2):
                 found: set[str] = set()

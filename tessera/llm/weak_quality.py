@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, small_batches
+from .common import row_key, small
 from .linear import Sparse, fit, sigmoid
 from .quality_rules import CLASSES, _classes, _repeat_words
 
@@ -50,7 +50,7 @@ class Stats:
     capitals: float  # capitals among ASCII letters
     repeats: float  # words in repeated five-word windows
     separators: float  # words without a letter or digit
-    variety: float  # distinct words among all
+    variety: float  # distinct words among 100 consecutive ones, averaged over the text
     marks: float  # punctuation marks per word
     plain: float  # words of small letters, with at most a first capital and marks at the ends
 
@@ -58,7 +58,16 @@ class Stats:
 def shapes_of(raw: bytes) -> Counter:
     """Word shapes of a whole text: a and 0 for runs of small letters (all beyond ASCII among them) and digits, A for one
     capital and AA for more, other characters once for a run."""
-    return Counter(x[:12] for x in _CAPS(b"AA", _RUNS(rb"\1", raw.translate(_KIND))).split())
+    return Counter(_CAPS(b"AA", _RUNS(rb"\1", raw.translate(_KIND))).split())
+
+
+def _variety(words: list[bytes], segment: int = 100) -> float:
+    """Distinct words among ``segment`` consecutive ones, averaged over the whole segments (a shorter text is one): unlike
+    the share in the whole text, it does not fall with the length."""
+    if len(words) < 2 * segment:
+        return len(set(words)) / max(1, len(words))
+    whole = range(0, len(words) - segment + 1, segment)
+    return sum(len(set(words[i : i + segment])) for i in whole) / (segment * len(whole))
 
 
 def stats_of(raw: bytes, words: list[bytes], shapes: Counter) -> Stats:
@@ -67,7 +76,7 @@ def stats_of(raw: bytes, words: list[bytes], shapes: Counter) -> Stats:
     bare = sum(k for x, k in shapes.items() if not _LETTER(x))
     plain = sum(k for x, k in shapes.items() if _PLAIN(x))
     letters = c["lower"] + c["upper"]
-    return Stats(len(words), c["symbol"] / n, c["upper"] / letters if letters else 0.0, _repeat_words(words) / n, bare / n, len(set(words)) / n, c["mark"] / n, plain / n)
+    return Stats(len(words), c["symbol"] / n, c["upper"] / letters if letters else 0.0, _repeat_words(words) / n, bare / n, _variety(words), c["mark"] / n, plain / n)
 
 
 def votes(s: Stats) -> tuple[int, ...]:
@@ -81,7 +90,7 @@ def votes(s: Stats) -> tuple[int, ...]:
         vote(s.capitals, s.capitals > 0.6, s.capitals < 0.25, 3),
         vote(s.repeats, s.repeats > 0.5, s.repeats < 0.1, 20),
         vote(s.separators, s.separators > 0.12, s.separators < 0.01, 5),
-        vote(s.variety, s.variety < 0.3 and s.n < 2000, s.variety > 0.5, 20),
+        vote(s.variety, s.variety < 0.3, s.variety > 0.5, 20),
         vote(s.marks, s.marks > 0.9, s.marks < 0.5, 5),
         vote(s.plain, s.plain < 0.6, s.plain > 0.8, 10),
     )
@@ -164,10 +173,9 @@ def _read(t: pa.Scalar) -> tuple[Stats, Counter]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, bits: int = 14) -> Scorer:
     """The vote model over all rows, and the scorer on a bounded sample of them."""
-    small_batches(docs.sparkSession)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             c: Counter = Counter(",".join(map(str, votes(_read(t)[0]))) for t in b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["pattern", "n"])
 
@@ -180,7 +188,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     chosen = keyed.select("_k1", "_k2").withColumn("o", order).orderBy("o", "_k1", "_k2").limit(sample).select("_k1", "_k2").distinct()
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rows = []
             for t in b.column(0):
                 s, shapes = _read(t)
@@ -196,8 +204,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     return Scorer(model, w, b, bits)
 
 
-
-
 def score(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.5) -> DataFrame:
     """All columns of ``docs`` and weak_posterior and score (both P(bad)) and kept (score below ``reject``).
 
@@ -206,7 +212,7 @@ def score(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             post, out = [], []
             for t in b.column(b.num_columns - 1):
                 s, shapes = _read(t)
@@ -224,7 +230,7 @@ def keep_good(docs: DataFrame, model: Scorer, text_col: str = "text", reject: fl
     """The rows of ``docs``, with all their columns, whose score is below ``reject``. One narrow scan, no join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             at, keep = b.schema.names.index(text_col), []
             for t in b.column(at):
                 s, shapes = _read(t)
