@@ -2,14 +2,18 @@
 
 Writing. Each page becomes three WARC/1.1 records that name one another by WARC-Concurrent-To. Pages with equal payloads
 share a SHA-1 digest; the one with the largest id is the response and the others are revisits that refer to it and carry
-no payload. Records are built as strings in the JVM and written by Spark's text writer with the record separator (two
-CRLF) as its line separator, so each part file is a valid uncompressed WARC file in whatever store the folder is in.
-Digests are decided on (id, digest) rows alone: a payload that a third of all pages share costs narrow rows, combined
-map-side, and the html moves once, dealt by page.
-
-Reading. Files are read whole (their size is bounded by ``per_file`` records) and parsed by Content-Length. Records are
-joined to their transaction by following concurrent-to identifiers, and a revisit takes payload length from the response
-that it refers to. Both joins move headers only, not payloads, unless ``with_payload`` is asked for.
+no payload. Digests are decided on (id, digest) rows alone: a payload that a third of all pages share costs narrow rows,
+combined map-side. The narrow rows of the revisits are the build side of a hash join, so pages move once and are not sorted.
+
+Files. A task builds one record at a time and gathers records to chunks of about ``chunk_bytes``; Spark's text writer
+writes the chunks, ``file_chunks`` to a file, in whatever store the folder is in. By default each record is a gzip member
+of its own, as readers with an index need. The writer ends each row with a separator, which must be part of the file: a
+gzip member ends with the high byte of its length, zero below 16 MB, so that byte is the separator (a longer record is
+followed by an empty member, which ends alike). Plain files use the record separator, two CRLF.
+
+Reading. Files (bounded in bytes) are read as streams, record by record. Records are joined to their transaction by
+following concurrent-to identifiers, and a revisit takes payload length from the response that it refers to. Both joins
+move headers only, not payloads, unless ``with_payload`` is asked for.
 """
 
 from __future__ import annotations
@@ -17,16 +21,18 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, small
 
-CRLF = "\r\n"
-END = CRLF + CRLF
+END = "\r\n\r\n"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -44,91 +50,136 @@ def roles(pages: DataFrame, id_col: str, digest: Column, least_bytes: int, size:
     return d.join(last, "digest").select("id", "digest", "size", refers.alias("refers_to"))
 
 
-def _uuid(kind: str, *cols: Column) -> Column:
-    h = F.md5(F.concat_ws(":", F.lit(kind), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols]))
-    return F.concat(F.lit("<urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in ([F.lit("-")] if a > 1 else []) + [F.substring(h, a, n)]], F.lit(">"))
+def _uuid(kind: str, page: int | None, copy: int) -> str:
+    h = hashlib.md5(f"{kind}:{page}:{copy}".encode()).hexdigest()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
-def _record(kind: str, rid: Column, fields: dict[str, Column | str | None], block: Column) -> Column:
-    """A record without its end mark. Null fields are left out."""
-    rows = [F.lit(f"WARC/1.1{CRLF}WARC-Type: {kind}{CRLF}WARC-Record-ID: "), rid, F.lit(f"{CRLF}WARC-Date: 1970-01-01T00:00:00Z{CRLF}")]
-    for k, v in fields.items():
-        v = F.lit(v) if isinstance(v, str) else v
-        rows.append(F.coalesce(F.concat(F.lit(k + ": "), v.cast("string"), F.lit(CRLF)), F.lit("")))
-    return F.concat(*rows, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(END), block)
+def _record(kind: str, rid: str, fields: dict[str, str | None], block: bytes) -> bytes:
+    """A record with its end mark. Null fields are left out."""
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines += [f"{k}: {v}" for k, v in fields.items() if v is not None] + [f"Content-Length: {len(block)}"]
+    return b"".join(("\r\n".join(lines).encode(), END.encode(), block, END.encode()))
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, per_file: int = 6000, compression: str | None = None) -> None:
-    """Write ``pages`` to WARC files of at most ``per_file`` records under ``path``.
+def _records(page: int | None, url: str | None, html: bytes, digest: str, refers_to: int | None, copy: int) -> Iterator[bytes]:
+    """The request, the response or revisit and the metadata of one page."""
+    req, res, meta = (_uuid(k, page, copy) for k in ("request", "response", "metadata"))
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}{END}".encode()
+    yield _record("request", req, {"WARC-Target-URI": url, "WARC-Concurrent-To": res, "Content-Type": "application/http; msgtype=request"}, f"GET {'/' if url is None else url} HTTP/1.1{END}".encode())
+    common = {"WARC-Target-URI": url, "WARC-Payload-Digest": "sha1:" + digest, "WARC-Concurrent-To": req, "Content-Type": "application/http; msgtype=response", "X-Page-ID": None if page is None else str(page)}
+    if refers_to is None:
+        yield _record("response", res, common, http + html)
+    else:
+        yield _record("revisit", res, common | {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"page:{refers_to}"}, http)
+    yield _record("metadata", meta, {"WARC-Target-URI": url, "WARC-Concurrent-To": res, "Content-Type": "application/warc-fields"}, f"page-id: {'' if page is None else page}\r\n".encode())
+
+
+def _member(record: bytes) -> bytes:
+    """A gzip member whose last byte is zero."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = z.compress(record) + z.flush()
+    return out if out[-1] == 0 else out + _member(b"")
+
+
+def _chunks(chunk_bytes: int, zipped: bool):
+    """Rows of records, each without the separator that the writer adds."""
+    end = 1 if zipped else len(END)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-end]], pa.binary())], ["value"])
+        for b in small(batches):
+            for k in range(b.num_rows):
+                page, url, html, refers_to, copy = (b.column(i)[k].as_py() for i in range(5))
+                raw = html.encode("utf-8", "surrogatepass")
+                digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+                for r in _records(page, url, raw, digest, refers_to, copy):
+                    held.append(_member(r) if zipped else r)
+                    size += len(held[-1])
+                    if size >= chunk_bytes:
+                        yield out()
+                        held, size = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, chunk_bytes: int = 1 << 20, file_chunks: int = 32, compression: str | None = "gzip") -> None:
+    """Write ``pages`` to WARC files under ``path``: ``file_chunks`` chunks of ``chunk_bytes`` or one longer record each.
 
     Null payloads are empty ones; a null url leaves the field out; line breaks in a url are percent-encoded. Of rows
     with equal payloads those with the largest id are responses (more than one if that row is repeated). A row with a
-    null id is a revisit if its payload has a row with an id, else a response. ``compression="gzip"`` writes each file as
-    one gzip member (.gz), which readers take in sequence; None writes plain files.
+    null id is a revisit if its payload has a row with an id, else a response. ``compression="gzip"`` writes a member a
+    record; None writes plain files.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     url = F.replace(F.replace(F.col(url_col).cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     p = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), html.alias("html"))
     role = roles(p, "id", base32_sha1(F.col("html")), least_bytes, F.octet_length("html").cast("long"))
-    # One row for each (id, digest), so that repeated rows meet it once each.
-    role = role.distinct().select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "size", "refers_to")
+    # One row for each (id, digest) of a revisit, so that repeated rows meet it once each.
+    again = role.where("refers_to is not null").select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "refers_to").distinct()
     p = p.withColumn("digest", base32_sha1(F.col("html")))
-    p = p.join(role, F.col("id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest"))).drop("rid", "rdigest")
+    p = p.join(again.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
     # The copy number tells repeated rows' records apart; it is fixed once written.
-    p = p.withColumn("copy", F.monotonically_increasing_id())
-    req, res, meta = (_uuid(k, F.col("id"), F.col("copy")) for k in ("request", "response", "metadata"))
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(END))
-    page, target = F.col("id"), F.col("url")
-    digest = F.concat(F.lit("sha1:"), F.col("digest"))
-    request = _record("request", req, {"WARC-Target-URI": target, "WARC-Concurrent-To": res, "Content-Type": "application/http; msgtype=request"}, F.concat(F.lit("GET "), F.coalesce(target, F.lit("/")), F.lit(f" HTTP/1.1{END}")))
-    common = {"WARC-Target-URI": target, "WARC-Payload-Digest": digest, "WARC-Concurrent-To": req, "Content-Type": "application/http; msgtype=response"}
-    response = _record("response", res, {**common, "X-Page-ID": page}, F.concat(http, F.col("html")))
-    revisit = _record("revisit", res, {**common, "X-Page-ID": page, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": F.concat(F.lit("page:"), F.col("refers_to").cast("string"))}, http)
-    metadata = _record("metadata", meta, {"WARC-Target-URI": target, "WARC-Concurrent-To": res, "Content-Type": "application/warc-fields"}, F.concat(F.lit("page-id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit(CRLF)))
-    rows = p.select(F.explode(F.array(request, F.when(F.col("refers_to").isNull(), response).otherwise(revisit), metadata)).alias("value"))
-    rows.write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", compression or "none").text(path)
+    p = p.select("id", "url", "html", "refers_to", F.monotonically_increasing_id().alias("copy"))
+    rows = p.mapInArrow(_chunks(chunk_bytes, compression == "gzip"), "value binary").select(F.col("value").cast("string"))
+    rows.write.option("lineSep", "\0" if compression == "gzip" else END).option("maxRecordsPerFile", file_chunks).option("compression", "none").text(path)
 
 
 _RECORD = "type string, record_id string, concurrent_to string, url string, page_id long, digest string, refers_to string, block_bytes long, payload_bytes long, payload_sha1 string, fields string, payload string"
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def open_warc(data: bytes) -> BinaryIO:
+    """A stream over the records of a plain file, or of one in gzip members."""
+    raw = io.BytesIO(data)
+    return gzip.GzipFile(fileobj=raw) if data[:2] == b"\x1f\x8b" else raw
+
+
+def parse_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields with lower-case names, block) of each record."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
+    while line := stream.readline():
+        if line == b"\r\n":
             continue
-        stop = data.index(b"\r\n\r\n", at)
-        head = data[at:stop].decode("utf-8", "surrogateescape").split("\r\n")
-        if not head[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
-        begin = stop + 4
-        at = begin + int(fields["content-length"])
-        if at > len(data):
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record: {line[:40]!r}")
+        fields = {}
+        while head := stream.readline().removesuffix(b"\r\n"):
+            k, _, v = head.decode("utf-8", "surrogateescape").partition(":")
+            fields[k.strip().lower()] = v.strip()
+        size = int(fields["content-length"])
+        block = stream.read(size)
+        if len(block) < size:
             raise ValueError("a record is cut off")
-        yield fields, data[begin:at]
+        yield fields, block
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """One row per WARC record of the files under ``path``, files dealt out over the tasks."""
+    kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in _RECORD.split(", ")]
+    names = [x.split()[0] for x in _RECORD.split(", ")]
+
+    def row(f: dict[str, str], block: bytes) -> tuple:
+        http = f.get("content-type", "").startswith("application/http") and f["warc-type"] == "response"
+        payload = block.partition(b"\r\n\r\n")[2] if http else b""
+        page = f.get("x-page-id")
+        own = base64.b32encode(hashlib.sha1(payload).digest()).decode() if http else None
+        return (f["warc-type"], f["warc-record-id"], f.get("warc-concurrent-to"), f.get("warc-target-uri"), int(page) if page else None, f.get("warc-payload-digest", "").removeprefix("sha1:") or None, f.get("warc-refers-to"), len(block), len(payload) if http else None, own, block.decode("utf-8", "surrogateescape").strip() if f["warc-type"] == "metadata" else None, payload.decode("utf-8", "replace") if with_payload and http else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in _RECORD.split(", ")]
-        names = [x.split()[0] for x in _RECORD.split(", ")]
-        for b in batches:
-            for content in b.column(0):
-                rows = []
-                data = content.as_py()
-                for f, block in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    http = f.get("content-type", "").startswith("application/http") and f["warc-type"] == "response"
-                    payload = block.partition(b"\r\n\r\n")[2] if http else b""
-                    page = f.get("x-page-id")
-                    own = base64.b32encode(hashlib.sha1(payload).digest()).decode() if http else None
-                    rows.append((f["warc-type"], f["warc-record-id"], f.get("warc-concurrent-to"), f.get("warc-target-uri"), int(page) if page else None, f.get("warc-payload-digest", "").removeprefix("sha1:") or None, f.get("warc-refers-to"), len(block), len(payload) if http else None, own, block.decode("utf-8", "surrogateescape").strip() if f["warc-type"] == "metadata" else None, payload.decode("utf-8", "replace") if with_payload and http else None))
-                cols = zip(*rows, strict=True) if rows else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names)
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        for b in small(batches, 1):
+            rows, size = [], 0
+            for f, block in parse_warc(open_warc(b.column(0)[0].as_py())):
+                rows.append(row(f, block))
+                size += len(block) if with_payload else 500
+                if size > 4 << 20:
+                    yield pack(rows)
+                    rows, size = [], 0
+            if rows:
+                yield pack(rows)
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "part-*").load(path)
     return files.where("length > 0").select("content").mapInArrow(run, _RECORD)
@@ -164,7 +215,7 @@ def op7_warc_round_trip(spark, sf_dir: str) -> DataFrame:
     """Every page written to WARC files in the shared folder and read back."""
     path = new_path(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    write_warc(pages, path, compression="gzip")
+    write_warc(pages, path)
     t = transactions(read_records(spark, path))
     return t.select(
         F.col("response.page_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("response.type").alias("record_type"),

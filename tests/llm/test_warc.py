@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import zlib
 from collections import Counter
 
 from tessera.llm import warc as V
@@ -21,10 +22,10 @@ def brute(rows, least=0):
     return Counter(out)
 
 
-def trip(spark, rows, least=0, per_file=6000, with_payload=False, compression=None):
+def trip(spark, rows, least=0, chunk_bytes=1 << 20, file_chunks=32, with_payload=False, compression="gzip"):
     path = new_path(spark, "warc")
     df = spark.createDataFrame([(*x, "", "") for x in rows], SCHEMA).repartition(3)
-    V.write_warc(df, path, least_bytes=least, per_file=per_file, compression=compression)
+    V.write_warc(df, path, least_bytes=least, chunk_bytes=chunk_bytes, file_chunks=file_chunks, compression=compression)
     return V.transactions(V.read_records(spark, path, with_payload)), path
 
 
@@ -33,8 +34,8 @@ ROWS += [(50, None, None), (51, "u", ""), (52, "a\r\nb", "x" * 200_000), (3, ROW
 
 
 def test_round_trip(spark):
-    for least, per_file, compression in ((0, 6000, "gzip"), (30, 7, None)):
-        t, _ = trip(spark, ROWS, least, per_file, compression=compression)
+    for least, chunk_bytes, file_chunks, compression in ((0, 1 << 20, 32, "gzip"), (30, 1, 7, None), (30, 2000, 2, "gzip")):
+        t, _ = trip(spark, ROWS, least, chunk_bytes, file_chunks, compression=compression)
         got = Counter((x.response.page_id, x.payload_bytes, x.payload_digest, x.response.type, int(x.response.refers_to[5:]) if x.response.refers_to else None) for x in t.collect())
         assert got == brute(ROWS, least)
 
@@ -46,9 +47,25 @@ def test_nested_rows_and_payload(spark):
     assert all(x.metadata.fields == f"page-id: {'' if x.response.page_id is None else x.response.page_id}".strip() for x in rows)
     texts = {(i, h or "") for i, _, h in ROWS}
     assert all((x.response.page_id, x.response.payload) in texts for x in rows if x.response.type == "response")
-    # The part files are WARC files to any reader.
-    data = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()
-    assert sum(len(list(V.parse_warc(bytes(x.content)))) for x in data) == 3 * len(ROWS)
+
+
+def test_files(spark):
+    """Any reader's view: a gzip member a record, or plain records; bounded files; records of over 16 MB."""
+    big = [(70, "u", "0123456789" * 1_700_000), (71, "u", "é" * 9_000_000)]
+    for compression in ("gzip", None):
+        t, path = trip(spark, ROWS + big, chunk_bytes=3000, file_chunks=4, with_payload=True, compression=compression)
+        data = [bytes(x.content) for x in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+        assert sum(len(list(V.parse_warc(V.open_warc(x)))) for x in data) == 3 * len(ROWS + big) and len(data) >= 4
+        if compression:
+            sizes = []
+            for x in data:
+                while x:
+                    z = zlib.decompressobj(31)
+                    record, x = z.decompress(x), z.unused_data
+                    assert z.eof and (not record or record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n"))
+                    sizes.append(len(record))
+            assert sum(n > 0 for n in sizes) == 3 * len(ROWS + big) and sizes.count(0) == 2
+        assert {x.response.page_id: x.response.payload for x in t.where("response.page_id >= 70").collect()} == {i: h for i, _, h in big}
 
 
 def test_empty(spark):
