@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
 from tessera.llm import substring as S
 
 SCHEMA = "doc_id long, text string, s int, e int"
@@ -29,7 +31,7 @@ def brute(rows, length):
 
 def rows_for(r):
     vocab = [f"w{i}" for i in range(50)]
-    shared = [r.choices(vocab, k=n) for n in (34, 35, 36, 60, 90)]
+    shared = [r.choices(vocab, k=n) for n in (34, 35, 36, 60, 90, 400)]
     rows = []
     for i in range(60):
         t = r.choices(vocab, k=r.randrange(5, 120))
@@ -37,7 +39,7 @@ def rows_for(r):
             at = r.randrange(len(t) + 1)
             t[at:at] = p
         rows.append((i, " ".join(t)))
-    rows += [(100, "la " * 200), (101, "a b " * 90), (102, None), (103, ""), (104, "\t "), (5, rows[5][1]), (5, "other text"), (None, rows[7][1]), (105, "é ü  " * 60)]
+    rows += [(100, "la " * 200), (101, "a b " * 90), (102, None), (103, ""), (104, "\t "), (5, rows[5][1]), (5, rows[5][1]), (5, "other text"), (106, "alone " + " ".join(f"u{i}" for i in range(50))), (106, "alone " + " ".join(f"u{i}" for i in range(50))), (107, "three words here"), (107, "three words here"), (None, rows[7][1]), (105, "é ü  " * 60)]
     return rows
 
 
@@ -61,3 +63,14 @@ def test_many_partitions_and_text(spark):
 
 def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_suffix_ranks():
+    r = np.random.default_rng(3)
+    ids = r.integers(0, 3, 400).astype(np.int32)
+    for depth in (1, 2, 3, 5, 8, 35):
+        rank = S.suffix_ranks(ids, depth)
+        seqs = [tuple(ids[i : i + depth].tolist()) for i in range(len(ids) - depth + 1)]
+        assert len(rank) == len(seqs) and [sorted(set(seqs)).index(x) for x in seqs] == rank.tolist()
+    a, b = np.array([0, 10, 20]), np.array([0, 11, 20])
+    assert S._same(ids, a, b, 30).tolist() == [True, (ids[10:40] == ids[11:41]).all(), True]
