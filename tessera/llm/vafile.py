@@ -2,30 +2,31 @@
 
 Vectors become integers, floor(scale * x). Each dimension's range over the corpus is cut into 2^bits cells; a vector's
 approximation is its cell numbers, one byte a dimension. For a query q the cells bound the inner product from both sides
-(per dimension the corner of the cell with the greater or the smaller product). Within a block:
-
-1. Scan the approximations: the k-th greatest lower bound of a query is a floor under its k-th score.
-2. Read exact vectors in the order of their upper bounds until the k-th exact score found is above every bound left.
-
-So a block's answer is exact, and the best k over the blocks are the answer. Ties go to the smaller id.
-
-Scale: candidates are dealt to blocks of about ``block`` rows by a hash of their id; queries, the smaller side, are dealt
-to each of them in groups of about ``query_block``. A task holds one block and one group, whatever the corpus size; the
-search is the stated query set against all rows and nothing of it is broadcast or collected (the per-dimension ranges
-are: one row). A block sends k rows a query.
+(per dimension the corner of the cell with the greater or the smaller product).
+
+1. Scan the approximations, block by block: the k-th greatest lower bound of a query is a floor under its k-th score. What
+   lies below by its upper bound is out. The blocks' survivors meet, and the floor over all of them leaves fewer.
+2. Read the exact vectors of those that are left, the only ones that may be among the k best, and rank their scores. Ties
+   go to the smaller id.
+
+Scale: the search is the stated query set against all rows. Candidates are dealt to blocks of about ``block`` rows, queries to
+groups of about ``query_block``; a task holds one block and one group, and what travels to each group are the one-byte
+cells. Exact vectors move once, to the survivors. Equal vectors beyond the first k + 1 ids can't be in an answer and are
+out before the search, so one vector that a third of all rows hold is a few rows. Nothing is broadcast but the ranges of
+the dimensions (one row for each length of vector).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_OUT = "query_id long, vec_id long, score long"
+from .common import store
+
+_FOUND = "query_id long, vec_id long, vh long, lower double, upper double"
 
 
 def _matrix(col: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -34,89 +35,99 @@ def _matrix(col: pa.ChunkedArray, dim: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-class VAFile:
-    """Approximations of one block, with exact vectors beside them. Rows are sorted by id, so order breaks ties."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, low: np.ndarray, high: np.ndarray, bits: int = 6):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.exact = ids[order], vectors[order]
-        cells = 1 << bits
-        width = np.maximum(1, -(-(high - low + 1) // cells))
-        self.cell = np.clip((self.exact - low) // width, 0, cells - 1).astype(np.uint8)
-        self.low, self.width = low, width
-        # float64 products and sums of integers are exact below 2^53; above, Python integers take over.
-        bound = float(np.abs(np.stack([low, high])).max(initial=0)) if len(low) else 0.0
-        self.small = bound * bound * max(1, len(low)) < 2**52
-
-    def search(self, qid: int, q: np.ndarray, lower: np.ndarray, upper: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """[(score, id)] of the k best rows other than the query's own, best first."""
-        other = self.ids != qid
-        n = int(other.sum())
-        if not n:
-            return []
-        floor = np.partition(np.where(other, lower, -np.inf), len(lower) - min(k, n))[len(lower) - min(k, n)]
-        left = np.flatnonzero(other & (upper >= floor))
-        left = left[np.argsort(-upper[left], kind="stable")]
-        best: list[tuple[int, int]] = []
-        for at in range(0, len(left), 64):
-            rows = left[at : at + 64]
-            if len(best) >= k and upper[rows[0]] < best[k - 1][0]:
-                break
-            scores = self.exact[rows] @ q if self.small else [sum(int(a) * int(b) for a, b in zip(self.exact[r], q)) for r in rows]
-            best = sorted([*best, *((int(s), int(self.ids[r])) for s, r in zip(scores, rows))], key=lambda x: (-x[0], x[1]))[:k]
-        return best
-
-    def all(self, qids: np.ndarray, queries: np.ndarray, k: int, at_once: int = 256) -> Iterator[tuple[int, int, int]]:
-        lo = (self.low + self.cell * self.width).astype(np.float64)
-        hi = lo + (self.width - 1)
-        slack = 0.0 if self.small else 1e-9
-        for i in range(0, len(qids), at_once):
-            q = queries[i : i + at_once].astype(np.float64)
-            up, down = np.maximum(q, 0), np.minimum(q, 0)
-            upper, lower = up @ hi.T + down @ lo.T, up @ lo.T + down @ hi.T
-            if slack:
-                wide = slack * (np.abs(q) @ np.maximum(np.abs(lo), np.abs(hi)).T)
-                upper, lower = upper + wide, lower - wide
-            for j in range(len(q)):
-                qid = int(qids[i + j])
-                yield from ((qid, v, s) for s, v in self.search(qid, queries[i + j], lower[j], upper[j], k))
-
-
-def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256, block: int = 20_000, query_block: int = 5_000, bits: int = 6) -> DataFrame:
+def bounds(cells: np.ndarray, low: np.ndarray, width: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds (queries x rows) of inner products with vectors of which only the cells are known."""
+    lo = low + cells.astype(np.float64) * width
+    hi = lo + (width - 1)
+    q = queries.astype(np.float64)
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    lower, upper = up @ lo.T + down @ hi.T, up @ hi.T + down @ lo.T
+    most = np.maximum(np.abs(lo), np.abs(hi))
+    # Sums of integers are exact below 2^53; above, the bounds are widened by more than the rounding.
+    if lo.size and q.size and float(np.abs(q).max()) * float(most.max()) * lo.shape[1] >= 2**52:
+        wide = 1e-9 * (np.abs(q) @ most.T)
+        lower, upper = lower - wide, upper + wide
+    return lower, upper
+
+
+def survivors(ids: np.ndarray, qid: int, lower: np.ndarray, upper: np.ndarray, k: int) -> np.ndarray:
+    """The rows that may be among the k best for a query, which isn't its own candidate."""
+    other = np.flatnonzero(ids != qid)
+    if len(other) <= k:
+        return other
+    low, up = lower[other], upper[other]
+    floor = np.partition(low, len(low) - k)[len(low) - k]
+    # Of rows that are the floor exactly, k smaller ids beat a greater one, and all that can at most reach the floor.
+    sure = np.sort(ids[other[(low == floor) & (up == floor)]])
+    last = sure[k - 1] if len(sure) >= k else None
+    keep = up >= floor
+    if last is not None:
+        keep &= (up > floor) | (ids[other] <= last)
+    return other[keep]
+
+
+def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256, block: int = 20_000, query_block: int = 5_000, bits: int = 8) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best other rows by integer inner product.
 
     ``is_query`` is a boolean column over ``vectors``. Rows whose vector is null, or holds a null, NaN or infinity, and
     rows with a null id take no part; vectors are compared with those of their own length. Rows with the query's id are
     its own. Repeated candidates are candidates of their own; of query rows with one id, the one with the least vector
-    asks. Fewer than k candidates give fewer rows. Integers must fit a long. Other columns are not read.
+    asks. Fewer than k candidates give fewer rows. Integers and scores must fit a long. Other columns are not read.
     """
+    if not 1 <= bits <= 8:
+        raise ValueError("a cell number takes one byte")
     v = F.col(vector_col).cast("array<double>")
     fit = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     whole = F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
-    d = vectors.where(F.coalesce(fit, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), F.size(v).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    d = vectors.where(F.coalesce(fit, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    # Equal rows are one row with a count; an answer holds k of them at most.
+    d = store(d.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"), F.max("q").alias("q")).withColumn("dim", F.size("v")), "vectors")
     # Per dimension the least and the greatest value, per length of vector: a row for each length and place.
     edges = d.select("dim", F.posexplode("v").alias("at", "x")).groupBy("dim", "at").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    edges = edges.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("at", "lo", "hi"))).alias("e")).select("dim", "e.lo", "e.hi")
-    sizes = d.agg(F.count("*"), F.count_if("q")).first()
-    blocks, groups = max(1, -(-sizes[0] // block)), max(1, -(-sizes[1] // query_block))
-    cands = d.select(F.col("dim").alias("cdim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cg"), F.col("id").alias("cid"), F.col("v").alias("cv"))
-    asked = d.where("q").groupBy("dim", "id").agg(F.min("v").alias("v"))
-    asked = asked.groupBy("id").agg(F.min(F.struct("v", "dim")).alias("s")).select("s.dim", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", "s.v")
-    asked = asked.join(edges, "dim").select(F.col("dim").alias("qdim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("qb"), F.col("g").alias("qg"), F.col("id").alias("qid"), F.col("v").alias("qv"), "lo", "hi")
+    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(1 << bits))).cast("long").alias("w")
+    edges = edges.select("dim", "at", "lo", width).groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("at", "lo", "w"))).alias("e")).select("dim", "e.lo", "e.w")
+    first = W.partitionBy("v").orderBy("id")
+    cands = d.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1).withColumn("vh", F.xxhash64("v"))
+    cands = store(cands.select("id", "vh", "v", "n", "dim"), "candidates")
+    asked = d.where("q").groupBy("id").agg(F.min(F.struct("v", "dim")).alias("s")).select("id", "s.dim", "s.v")
+    asked = store(asked, "queries")
+    blocks, groups = max(1, -(-cands.count() // block)), max(1, -(-asked.count() // query_block))
+
+    def cell(x, i):
+        up = x - F.get("lo", i)
+        return (F.least((up - up % F.get("w", i)) / F.get("w", i), F.lit((1 << bits) - 1)) - 128).cast("byte")
+
+    cells = F.when(F.col("dim") > 0, F.transform("v", cell)).otherwise(F.array().cast("array<tinyint>"))
+    spread = cands.join(F.broadcast(edges), "dim", "left").select(F.col("dim").alias("cdim"), F.pmod("vh", F.lit(blocks)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cg"), F.col("id").alias("cid"), F.col("vh").alias("ch"), cells.alias("cells"))
+    sent = asked.join(F.broadcast(edges), "dim", "left").select(F.col("dim").alias("qdim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("qg"), F.col("id").alias("qid"), F.col("v").alias("qv"), "lo", "w")
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        dim, rows = key[0].as_py(), []
+        dim, out = key[0].as_py(), []
         if left.num_rows and right.num_rows:
-            low, high = (_matrix(right.column(c).slice(0, 1), dim)[0] if dim else np.zeros(0, np.int64) for c in ("lo", "hi"))
-            file = VAFile(left.column("cid").to_numpy(), _matrix(left.column("cv"), dim) if dim else np.zeros((left.num_rows, 0), np.int64), low, high, bits)
-            queries = _matrix(right.column("qv"), dim) if dim else np.zeros((right.num_rows, 0), np.int64)
-            rows = list(file.all(right.column("qid").to_numpy(), queries, k))
-        cols = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.table([pa.array(x, pa.int64()) for x in cols], ["query_id", "vec_id", "score"])
-
-    found = cands.groupBy("cdim", "cb", "cg").cogroup(asked.groupBy("qdim", "qb", "qg")).applyInArrow(run, _OUT)
+            ids, hashes = left.column("cid").to_numpy(), left.column("ch").to_numpy()
+            low, width = (_matrix(right.column(c).slice(0, 1), dim)[0] if dim else np.zeros(0) for c in ("lo", "w"))
+            table = _matrix(left.column("cells"), dim).astype(np.int16) + 128 if dim else np.zeros((len(ids), 0))
+            queries = _matrix(right.column("qv"), dim) if dim else np.zeros((right.num_rows, 0))
+            qids = right.column("qid").to_numpy()
+            for i in range(0, len(qids), 64):
+                lower, upper = bounds(table, low, width, queries[i : i + 64])
+                for j in range(len(lower)):
+                    rows = survivors(ids, int(qids[i + j]), lower[j], upper[j], k)
+                    out.append((np.full(len(rows), qids[i + j]), ids[rows], hashes[rows], lower[j][rows], upper[j][rows]))
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table([pa.array(x.astype(np.int64) if t == pa.int64() else x, t) for x, t in zip(cols, kinds, strict=True)], ["query_id", "vec_id", "vh", "lower", "upper"])
+
+    found = spread.groupBy("cdim", "cb", "cg").cogroup(sent.groupBy("qdim", "qb", "qg")).applyInArrow(run, _FOUND)
+    by_lower = W.partitionBy("query_id").orderBy(F.desc("lower"), "vec_id", "vh")
+    found = found.withColumn("kth", F.row_number().over(by_lower))
+    floor = F.max(F.when(F.col("kth") == k, F.col("lower"))).over(W.partitionBy("query_id"))
+    left = found.withColumn("floor", floor).where(F.col("floor").isNull() | (F.col("upper") >= F.col("floor"))).select("query_id", "vec_id", "vh")
+    exact = left.join(cands.select(F.col("id").alias("vec_id"), "vh", "v", "n"), ["vec_id", "vh"]).join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
+    score = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+    scored = exact.select("query_id", "vec_id", score.alias("score"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_va_file_top_k(spark, sf_dir: str) -> DataFrame:
