@@ -56,3 +56,48 @@ def test_every_language_and_null_has_common_words(spark):
     assert all(x.word_distance is not None and x.kept == (i % 100 < 12) for i, x in few.items())
     alone = Q.quality_rules(df.where("lang is null")).collect()
     assert all(x.word_distance is not None and x.kept == (x.doc_id % 100 < 12) for x in alone)
+
+
+def test_distances_and_verdicts_against_brute_force(spark):
+    """References, both distances and kept by plain dictionaries; words that look like markers among them."""
+    import math
+
+    r = random.Random(11)
+    vocab = ["the", "of", "*", "#mark", "Word,", "über", "x1", "&", "mark", "lower"] + ["".join(r.choices("abcdef", k=5)) for _ in range(60)]
+    rows = [(i, " ".join(r.choices(vocab, k=r.choice([30, 60, 120]))), r.choice(["en", "de", None])) for i in range(90)]
+    rows += [(200, " ".join(r.choices(["###", "$$$", "&&"], k=120)), "en"), (201, None, "fr"), (202, "", None)]
+    rules = Q.Rules(common=7, max_class_distance=0.2, max_word_distance=0.3)
+
+    def classes(raw):
+        out = [0] * 8
+        for c in raw:
+            out[7 if c > 127 else 0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3 if c in b" \t\n\x0b\x0c\r" else 4 if c in b".,;:!?'\"()-" else 5 if c in b"#*$%&|<>" else 6] += 1
+        return out
+
+    def words(raw):
+        return Counter(x for x in (bytes(c + 32 if 65 <= c <= 90 else c for c in w).strip(b".,;:!?") for w in raw.split()) if x)
+
+    refs = {}
+    for lang in ("en", "de", "fr", None):
+        raws = [(t or "").encode() for _, t, x in rows if lang is None or x == lang]
+        every = sum((words(x) for x in raws), Counter())
+        top = dict(sorted(every.items(), key=lambda x: (-x[1], x[0]))[:7])
+        refs[lang] = ([sum(c) for c in zip(*map(classes, raws))], top, sum(len(x.split()) for x in raws) - sum(top.values()))
+
+    def distance(p, q):
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        d = sum(x / 2 * math.log2(2 * x / (x + y)) for x, y in zip(p, q) if x) + sum(y / 2 * math.log2(2 * y / (x + y)) for x, y in zip(p, q) if y)
+        return math.sqrt(max(0.0, d))
+
+    got = {x.doc_id: x for x in Q.quality_rules(spark.createDataFrame([(*x, "", "") for x in rows], SCHEMA), rules).collect()}
+    for i, t, lang in rows:
+        raw, (ref, top, rest) = (t or "").encode(), refs[lang]
+        a = distance(classes(raw), ref) if len(raw) >= 200 else None
+        own = words(raw)
+        mine = [own[w] for w in top]
+        b = distance([*mine, len(raw.split()) - sum(mine)], [*top.values(), rest]) if len(raw.split()) >= 50 else None
+        x = got[i]
+        assert (a is None) == (x.class_distance is None) and (b is None) == (x.word_distance is None), i
+        assert abs((a or 0) - (x.class_distance or 0)) < 1e-6 and abs((b or 0) - (x.word_distance or 0)) < 1e-6, i
+        assert x.kept == (not brute(t)[-1] and (a or 0) <= 0.2 and (b or 0) <= 0.3), i
+    assert len({x.kept for x in got.values()}) == 2

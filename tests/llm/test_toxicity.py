@@ -54,3 +54,42 @@ def test_one_class_and_empty(spark):
     w, b = X.train(d, spark.createDataFrame([(1, 0, 1, ""), (2, 0, 1, "")], LABELS))
     assert w == {} and b < 0
     assert X.score(spark.createDataFrame([], DOCS), w, b).count() == 0
+
+
+def test_scores_against_brute_force(spark):
+    """Every score is the logistic of the weights of the features that a text has; the fold is that of CRC-32."""
+    import math
+    import zlib
+
+    docs, labels = corpus(random.Random(3), 300)
+    docs += [(7000, None, 0, ""), (7001, "", 0, ""), (7002, "«Vileqax!» VILEQAX (vileqax), muslims' words", 0, ""), (3, docs[3][1], 0, "")]
+    d = spark.createDataFrame(docs, DOCS)
+    w, b = X.train(d, spark.createDataFrame(labels, LABELS))
+    ends = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…")
+
+    def score(t):
+        has = set()
+        for x in (t or "").lower().split():
+            while x and x[0] in ends:
+                x = x[1:]
+            while x and x[-1] in ends:
+                x = x[:-1]
+            if x:
+                has |= {x} | {"^" + x[:k] for k in (3, 4, 5) if len(x) >= k}
+        return 1 / (1 + math.exp(-b - sum(w.get(f, 0.0) for f in has)))
+
+    texts = {(i, t) for i, t, *_ in docs}
+    for r in X.score(d, w, b).collect():
+        ts = [t for i, t in texts if i == r.doc_id]
+        assert any(abs(r.score - score(t)) < 1e-9 for t in ts) and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_repeated_ids_beyond_the_bound(spark):
+    """More rows than the bound by repeated ids: both classes stay in the fit."""
+    docs, labels = corpus(random.Random(4), 200)
+    bad = {i for i, y, _, _ in labels if y}
+    d = spark.createDataFrame(docs + [x for x in docs if x[0] in bad] * 6, DOCS)
+    w, b = X.train(d, spark.createDataFrame(labels, LABELS), sample=120)
+    got = X.score(spark.createDataFrame([x for x in docs if x[0] not in bad], DOCS), w, b).collect()
+    assert sum(r.predicted for r in got) < 0.1 * len(got)
