@@ -71,7 +71,7 @@ def last_wins_labels(coclusters: DataFrame, n_rows: int) -> DataFrame:
 def consensus_labels(coclusters: DataFrame, n_rows: int, k: int, max_iter: int = 200, seed: int = 0) -> DataFrame:
     """(i, label): k-means on the rows' 0/1 co-cluster memberships, as sparse vectors; all 0 without co-clusters."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.feature import CountVectorizerModel
 
     spark = coclusters.sparkSession
     ids = coclusters.select("cid").distinct()
@@ -84,11 +84,11 @@ def consensus_labels(coclusters: DataFrame, n_rows: int, k: int, max_iter: int =
     m = coclusters.select("cid", F.explode("row_indices").alias("i")).join(d.select(F.col("key").alias("cid"), "idx"), "cid")
     sets = m.groupBy("i").agg(F.collect_set("idx").alias("s"))
     rows = spark.range(n_rows).select(F.col("id").alias("i")).join(sets, "i", "left")
-    at = F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))
-    x = F.transform(at, lambda j: F.coalesce(F.array_contains("s", j), F.lit(False)).cast("double"))
-    f = rows.select("i", array_to_vector(x).alias("features"))
-    f = cut(f)
-    models = [KMeans(k=max(2, k), maxIter=max_iter, seed=seed + r, initSteps=5).fit(f) for r in range(3)]
+    if k <= 1:
+        return rows.select("i", F.lit(0).cast("long").alias("label"))
+    words = rows.select("i", F.coalesce(F.transform("s", lambda j: j.cast("string")), F.array().cast("array<string>")).alias("w"))
+    f = cut(CountVectorizerModel.from_vocabulary([str(j) for j in range(width)], "w", "features").setBinary(True).transform(words).select("i", "features"))
+    models = [KMeans(k=k, maxIter=max_iter, seed=seed + r, initSteps=5).fit(f) for r in range(3)]
     model = min(models, key=lambda x: x.summary.trainingCost)
     return model.transform(f).select("i", F.col("prediction").cast("long").alias("label"))
 
@@ -207,5 +207,6 @@ def speedup(runs: DataFrame) -> DataFrame:
     return s.select("dataset", "method", F.try_divide("standalone_s", "divide_merge_s").alias("ratio"), (F.col("divide_merge_q") - F.col("standalone_q")).alias("nmi_gain"))
 
 
-def best_runs(runs: DataFrame, by: str = "nmi", n: int = 10) -> DataFrame:
-    return runs.orderBy(F.desc(by)).limit(n)
+def best_runs(runs: DataFrame, by: str = "nmi", n: int = 10, ties: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` runs that are greatest by ``by``; ``ties`` orders equal ones."""
+    return runs.orderBy(F.desc(by), *ties).limit(n)

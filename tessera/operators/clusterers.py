@@ -61,10 +61,18 @@ class BasicCoclusterer:
         return d.select("cid", F.sequence(F.col("a"), F.col("b") - 1).alias("row_indices"), F.sequence(F.col("c"), F.col("d") - 1).alias("col_indices"), F.lit(None).cast("double").alias("score"))
 
 
+def full_range(m: CoMatrix, found: DataFrame) -> DataFrame:
+    """(axis, idx, label) for every row and column of ``m``; those without a label in ``found`` have null."""
+    every = m.spark.range(m.n_rows).select(F.lit("row").alias("axis"), F.col("id").alias("idx")).unionAll(m.spark.range(m.n_cols).select(F.lit("col"), "id"))
+    return every.join(found, ["axis", "idx"], "left")
+
+
 def _kmeans(f: DataFrame, k: int, max_iter: int, seed: int, n_init: int) -> DataFrame:
-    """Predictions of the best of ``n_init`` runs, on narrow cached vectors."""
-    v = cut(f.withColumn("features", array_to_vector("x")).drop("x")).cache()
-    models = [KMeans(k=max(2, k), maxIter=max_iter, seed=seed + r, initSteps=5).fit(v) for r in range(n_init)]
+    """Predictions of the best of ``n_init`` runs, on narrow checkpointed vectors; one cluster needs no run."""
+    if k <= 1:
+        return f.drop("x").withColumn("prediction", F.lit(0))
+    v = cut(f.withColumn("features", array_to_vector("x")).drop("x"))
+    models = [KMeans(k=k, maxIter=max_iter, seed=seed + r, initSteps=5).fit(v) for r in range(n_init)]
     best = min(models, key=lambda x: x.summary.trainingCost)
     return best.transform(v).drop("features")
 
@@ -88,8 +96,7 @@ class SVDClusterer:
         z = u.select(F.lit("row").alias("axis"), F.col("i").alias("idx"), "x").unionAll(v.select(F.lit("col"), "i", "x"))
         some = cut(z.where(~is_zero_vector(F.col("x"))).select("axis", "idx", l2_normalize(F.col("x")).alias("x")))
         found = _kmeans(some, min(self.k, m.n_rows + m.n_cols), 100, self.seed, 3).select("axis", "idx", F.col("prediction").cast("long").alias("label"))
-        every = m.spark.range(m.n_rows).select(F.lit("row").alias("axis"), F.col("id").alias("idx")).unionAll(m.spark.range(m.n_cols).select(F.lit("col"), "id"))
-        return every.join(found, ["axis", "idx"], "left")
+        return full_range(m, found)
 
     def cluster(self, m: CoMatrix) -> DataFrame:
         return joint_coclusters(self.labels(m))
@@ -113,7 +120,7 @@ class SpectralCocluster:
         tail = F.slice("x", 2, max(1, len(sigma) - 1)) if len(sigma) > 1 else F.col("x")
         rows = _kmeans(cut(u.select(F.lit("row").alias("axis"), F.col("i").alias("idx"), tail.alias("x"))), self.n_row_clusters, self.max_iter, self.seed, self.n_init)
         cols = _kmeans(cut(v.select(F.lit("col").alias("axis"), F.col("i").alias("idx"), tail.alias("x"))), self.n_col_clusters, self.max_iter, self.seed, self.n_init)
-        return rows.unionAll(cols).select("axis", "idx", F.col("prediction").cast("long").alias("label"))
+        return full_range(m, rows.unionAll(cols).select("axis", "idx", F.col("prediction").cast("long").alias("label")))
 
     def cluster(self, m: CoMatrix) -> DataFrame:
         return cross_coclusters(self.labels(m))

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.elementwise import nan_to_num
+from ..functions.elementwise import mu_sqrt_update, mu_update
 from ..functions.linalg import gram, inner, matmul, matmul_t, reconstruction_error, times
 from ..session import cut
 from ..sources.matrix import CoMatrix
@@ -44,8 +44,7 @@ class GlobalTriFactor:
         d = f.join(num.select("i", F.col("x").alias("y")), "i", "left").withColumn("y", F.coalesce("y", F.array(*[F.lit(0.0)] * len(den))))
         out = []
         for a, e in enumerate(den):
-            ratio = F.try_divide(F.col("y")[a], e + F.lit(1e-10))
-            out.append(nan_to_num(F.col("x")[a] * (F.sqrt(ratio) if root else ratio)))
+            out.append((mu_sqrt_update if root else mu_update)(F.col("x")[a], F.col("y")[a], e))
         return d.select("i", F.array(*out).alias("x"))
 
     @staticmethod
@@ -156,7 +155,9 @@ class GlobalFnmf:
     def labels(self, m: CoMatrix) -> DataFrame:
         w, h = self.fit(m)
         side = lambda d, n, axis: d.select(F.lit(axis).alias("axis"), F.col("i").alias("idx"), F.slice("x", 1, n).alias("x")).select("axis", "idx", argmax_last("x").alias("label"))
-        return side(w, self.n_row, "row").unionAll(side(h, self.n_col, "col"))
+        from .clusterers import full_range
+
+        return full_range(m, side(w, self.n_row, "row").unionAll(side(h, self.n_col, "col")))
 
     def cluster(self, m: CoMatrix) -> DataFrame:
         from .clusterers import cross_coclusters

@@ -44,8 +44,9 @@ def stored_cells(coclusters: DataFrame, m: CoMatrix) -> DataFrame:
 class PearsonScorer:
     """Mean of |r| over all pairs of rows and all pairs of columns together; a pair without variance counts as 0.
 
-    For one axis: sums of cross products over the shared axis give every pair's covariance from stored cells only, so
-    zeros cost nothing; pairs without a common cell have covariance -s_a s_b / n, filled in from the sums.
+    For one axis: sums of cross products over the shared axis give the covariances of pairs with a common cell, from stored
+    cells only. A pair without one has covariance -s_a s_b / n, so its |r| is u_a u_b with u = |s| / sqrt(n variance), and
+    over all pairs these add up to ((sum u)^2 - sum u^2) / 2: pairs without a common cell are never made.
     """
 
     min_rows: int = 2
@@ -58,15 +59,17 @@ class PearsonScorer:
         left = x.select("cid", "q", F.col("p").alias("p1"), F.col("v").alias("v1"))
         right = x.select("cid", "q", F.col("p").alias("p2"), F.col("v").alias("v2"))
         cross = left.join(right, ["cid", "q"]).where("p1 < p2").groupBy("cid", "p1", "p2").agg(F.sum(F.col("v1") * F.col("v2")).alias("x"))
-        one = full.select("cid", F.col("p").alias("p1"), F.col("s").alias("s1"), F.col("s2").alias("t1"))
-        two = full.select("cid", F.col("p").alias("p2"), F.col("s").alias("u1"), F.col("s2").alias("u2"))
-        pairs = one.join(two, "cid").where("p1 < p2").join(cross, ["cid", "p1", "p2"], "left").join(size, "cid")
         n = F.col(length).cast("double")
-        cov = F.coalesce("x", F.lit(0.0)) - F.col("s1") * F.col("u1") / n
-        va, vb = F.col("t1") - F.col("s1") * F.col("s1") / n, F.col("u2") - F.col("u1") * F.col("u1") / n
-        flat = (va <= 1e-12 * F.col("t1")) | (vb <= 1e-12 * F.col("u2")) | (F.col("t1") == 0) | (F.col("u2") == 0)
-        r = F.when(flat, 0.0).otherwise(F.least(F.lit(1.0), F.abs(F.try_divide(cov, F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))))))
-        return pairs.select("cid", F.coalesce(r, F.lit(0.0)).alias("r"))
+        var = F.col("s2") - F.col("s") * F.col("s") / n
+        flat = (var <= 1e-12 * F.col("s2")) | (F.col("s2") == 0)
+        full = full.join(size, "cid").select("cid", "p", "s", n.alias("n"), F.when(~flat, var).alias("var"))
+        full = full.withColumn("u", F.coalesce(F.abs("s") / F.sqrt(F.col("n") * F.col("var")), F.lit(0.0)))
+        apart = full.groupBy("cid").agg(((F.sum("u") * F.sum("u") - F.sum(F.col("u") * F.col("u"))) / 2).alias("total"), (F.count("*") * (F.count("*") - 1) / 2).alias("pairs"))
+        side = lambda k: full.select("cid", F.col("p").alias(f"p{k}"), F.col("s").alias(f"s{k}"), F.col("var").alias(f"var{k}"), F.col("u").alias(f"u{k}"), *["n"][: k == 1])
+        met = cross.join(side(1), ["cid", "p1"]).join(side(2), ["cid", "p2"]).where("var1 is not null and var2 is not null")
+        r = F.least(F.lit(1.0), F.abs(F.col("x") - F.col("s1") * F.col("s2") / F.col("n")) / F.sqrt(F.col("var1") * F.col("var2")))
+        more = met.select("cid", (r - F.col("u1") * F.col("u2")).alias("total"), F.lit(0.0).alias("pairs"))
+        return apart.unionAll(more)
 
     def score(self, coclusters: DataFrame, m: CoMatrix) -> DataFrame:
         size = shapes(coclusters)
@@ -74,7 +77,7 @@ class PearsonScorer:
         cells = stored_cells(big, m)
         rows = self._axis(cells, row_members(big), size, "ri", "cj", "c")
         cols = self._axis(cells, col_members(big), size, "cj", "ri", "r")
-        mean = rows.unionAll(cols).groupBy("cid").agg(F.avg("r").alias("score"))
+        mean = rows.unionAll(cols).groupBy("cid").agg(F.greatest(F.lit(0.0), F.try_divide(F.sum("total"), F.sum("pairs"))).alias("score"))
         return coclusters.select("cid").join(mean, "cid", "left").select("cid", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -22,12 +22,12 @@ from ..operators.divide_merge import DivideMerge
 from ..operators.global_nmf import GlobalFnmf, GlobalTriFactor, argmax_last
 from ..operators.merge import MergeConfig, adaptive_score, greedy_overlap, merge_intersection, merge_tree, merge_union, overlap_pairs, union_dc, vote_labels, weighted_score
 from ..operators.scoring import CompatibilityScorer, CompositeScorer, ExponentialScorer, PearsonScorer, rank_one_score, singular_values
-from ..session import table
+from ..session import shared_path, table
 from ..sources import files
 from ..sources import synthetic as S
 from ..sources.matrix import CoMatrix
 from .inputs import COMPATIBILITY, CP, EXPONENTIAL, NB, PEARSON, UE, basic_blocks, blocks_sql, cust_part, embedding_matrix, nation_brand, user_event
-from .pipeline import PipelineConfig, filter_and_rank, score_stats
+from .pipeline import Pipeline, PipelineConfig, StandardPipeline, filter_and_rank, score_stats
 from .sqlmat import SqlMatrix, tri_step
 
 QUERIES: dict = {}
@@ -81,9 +81,73 @@ def matrix_transpose_overlay(spark, sf):
     return coo(nation_brand(spark, sf).transpose().overlay(spark.range(1).select(F.lit(1).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(-1.0).alias("v"))).df)
 
 
-@query("dense_fill", f"WITH {CP} SELECT i, j, coalesce(round(v, 6), 0) AS v FROM (SELECT i, j FROM range(60) a(i), range(80) b(j)) LEFT JOIN cp USING (i, j)")
+@query("dense_fill", f"WITH {UE} SELECT i, j, coalesce(round(v, 6), 0) AS v FROM (SELECT * FROM (SELECT DISTINCT i FROM ue), (SELECT DISTINCT j FROM ue)) LEFT JOIN ue USING (i, j)")
 def dense_fill(spark, sf):
-    return coo(cust_part(spark, sf).corner(60, 80).dense().df)
+    return coo(user_event(spark, sf).dense().df)
+
+
+@query("matrix_corner", f"WITH {CP} SELECT i, j, round(v, 6) AS v FROM cp WHERE i < 60 AND j < 80")
+def matrix_corner(spark, sf):
+    """The operator's own limit: the top-left part."""
+    return coo(cust_part(spark, sf).corner(60, 80).df)
+
+
+@query("matrix_get", f"WITH {NB} SELECT round((SELECT v FROM nb WHERE i = 3 AND j = 4), 6) AS inside, CAST(NULL AS DOUBLE) AS outside")
+def matrix_get(spark, sf):
+    m = nation_brand(spark, sf)
+    return spark.createDataFrame([(m.get(3, 4), m.get(m.n_rows, 0))], "inside double, outside double").select(r("inside").alias("inside"), "outside")
+
+
+def _refuses(f) -> bool:
+    try:
+        f()
+    except ValueError:
+        return True
+    return False
+
+
+@query("non_negative", f"WITH {NB} SELECT min(v) < 0 AS plain, min(v - 100) < 0 AS shifted FROM nb")
+def non_negative(spark, sf):
+    """Whether the check refuses the matrix, as it is and less 100."""
+    m = nation_brand(spark, sf)
+    return scalar(spark, plain=_refuses(lambda: E.check_non_negative(m)), shifted=_refuses(lambda: E.check_non_negative(m.with_df(m.df.withColumn("v", F.col("v") - 100)))))
+
+
+@query("parquet_round_trip", f"WITH {CP} SELECT i, j, round(v, 6) AS v FROM cp")
+def parquet_round_trip(spark, sf):
+    m, path = cust_part(spark, sf), shared_path(spark, "matrix")
+    files.write_parquet(m, path)
+    return coo(files.read_parquet(spark, path, m.n_rows, m.n_cols).df)
+
+
+@query("matrix_market_round_trip", f"WITH {CP} SELECT i, j, round(v, 6) AS v FROM cp")
+def matrix_market_round_trip(spark, sf):
+    m, path = cust_part(spark, sf), shared_path(spark, "market")
+    files.write_matrix_market(m, path)
+    return coo(files.read_matrix_market(spark, [path + "/0-header", path + "/1-entries"]).df)
+
+
+@query("csv_round_trip", f"WITH {NB} SELECT a.i, b.j, coalesce(round(v, 6), 0) AS v FROM (SELECT DISTINCT i FROM nb) a, (SELECT DISTINCT j FROM nb) b LEFT JOIN nb ON nb.i = a.i AND nb.j = b.j")
+def csv_round_trip(spark, sf):
+    """Dense rows as lines of a CSV file, read by position."""
+    m, path = nation_brand(spark, sf), shared_path(spark, "csv")
+    rows = m.row_vectors().select("i", *[F.col("x")[k].alias(f"c{k}") for k in range(m.n_cols)])
+    rows.coalesce(1).sortWithinPartitions("i").drop("i").write.csv(path, header=True)
+    return coo(files.read_csv(spark, path, m.n_cols).dense().df)
+
+
+@query("coclusters_json_round_trip", f"WITH {NB}, {blocks_sql('nb')} SELECT cid, b - a AS n_rows, d - c AS n_cols, a AS first_row, d - 1 AS last_col FROM bk")
+def coclusters_json_round_trip(spark, sf):
+    path = shared_path(spark, "json")
+    files.write_coclusters_json(basic_blocks(nation_brand(spark, sf)), path)
+    d = spark.read.json(path)
+    return d.select("cid", *[F.size(c).cast("long").alias(n) for c, n in (("row_indices", "n_rows"), ("col_indices", "n_cols"))], F.array_min("row_indices").alias("first_row"), F.array_max("col_indices").alias("last_col"))
+
+
+@query("printed_rows", f"WITH {UE}, d AS (SELECT a.i, b.j, coalesce(v, 0) AS v FROM (SELECT DISTINCT i FROM ue) a, (SELECT DISTINCT j FROM ue) b LEFT JOIN ue ON ue.i = a.i AND ue.j = b.j) SELECT i, string_agg(format('{{:,.4f}}', round(v, 4)), ' ' ORDER BY j) AS line FROM d GROUP BY i")
+def printed_rows(spark, sf):
+    m = user_event(spark, sf)
+    return files.display(m.with_df(m.df.withColumn("v", F.round("v", 4))))
 
 
 @query("row_vectors", f"WITH {UE} SELECT i, string_agg(CAST(CAST(round(v, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY j) AS line FROM (SELECT i, j, coalesce(v, 0) AS v FROM (SELECT DISTINCT ue.i, b.j FROM ue, range(5) b(j)) LEFT JOIN ue USING (i, j)) GROUP BY i")
@@ -129,9 +193,9 @@ def row_l2_normalize(spark, sf):
     return coo(E.row_l2_normalize(cust_part(spark, sf)).df, 8)
 
 
-@query("zero_strip", f"WITH {CP}, c AS (SELECT * FROM cp WHERE i < 100 AND j < 50 AND abs(v) > 1e-15) SELECT dense_rank() OVER (ORDER BY i) - 1 AS i, dense_rank() OVER (ORDER BY j) - 1 AS j, round(v, 6) AS v FROM c")
+@query("zero_strip", f"WITH {CP}, c AS (SELECT * FROM cp WHERE abs(v) > 1e-15) SELECT dense_rank() OVER (ORDER BY i) - 1 AS i, dense_rank() OVER (ORDER BY j) - 1 AS j, round(v, 6) AS v FROM c")
 def zero_strip(spark, sf):
-    return coo(E.strip_zeros(cust_part(spark, sf).corner(100, 50))[0].df)
+    return coo(E.strip_zeros(cust_part(spark, sf))[0].df)
 
 
 @query("column_norms", f"WITH {NB} SELECT j, round(sum(abs(v)), 4) AS l1, round(sqrt(sum(v * v)), 4) AS l2 FROM nb GROUP BY j")
@@ -161,9 +225,9 @@ def synthetic_block_diagonal(spark, sf):
     return coo(S.block_diagonal(spark).df)
 
 
-@query("labels_from_sizes", "WITH s AS (SELECT CAST(p_size AS BIGINT) AS label, count(*) AS n FROM part WHERE p_size <= 10 GROUP BY 1), o AS (SELECT *, coalesce(sum(n) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM s) SELECT CAST(unnest(range(CAST(a AS BIGINT), CAST(a + n AS BIGINT))) AS BIGINT) AS i, label FROM o")
+@query("labels_from_sizes", "WITH s AS (SELECT CAST(p_size AS BIGINT) AS label, count(*) AS n FROM part GROUP BY 1), o AS (SELECT *, coalesce(sum(n) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM s) SELECT CAST(unnest(range(CAST(a AS BIGINT), CAST(a + n AS BIGINT))) AS BIGINT) AS i, label FROM o")
 def labels_from_sizes(spark, sf):
-    return S.labels_from_sizes(table(spark, sf, "part").where("p_size <= 10").groupBy(F.col("p_size").cast("long").alias("label")).agg(F.count("*").alias("size")))
+    return S.labels_from_sizes(table(spark, sf, "part").groupBy(F.col("p_size").cast("long").alias("label")).agg(F.count("*").alias("size")))
 
 
 # -- linear algebra -------------------------------------------------------------------------------------------------------
@@ -325,6 +389,15 @@ def pipeline_stats(spark, sf):
     return score_stats(_ranked(spark, sf)).select("count", *[r(c).alias(c) for c in ("min", "max", "mean", "std")])
 
 
+@query("pipeline_builder", f"WITH {NB}, {blocks_sql('nb')}, {EXPONENTIAL} SELECT cid, round(score, 6) AS score, 3::BIGINT AS found, 3::BIGINT AS plain FROM exponential WHERE score >= 1 ORDER BY score DESC, cid LIMIT 2")
+def pipeline_builder(spark, sf):
+    """A built pipeline with its filter, order and limit, beside one that only clusters."""
+    m = nation_brand(spark, sf)
+    step = Pipeline.builder().with_clusterer(BasicCoclusterer(3)).with_scorer(ExponentialScorer(50)).min_score(1.0).max_submatrices(2).min_submatrix_size(1, 1).sort_by_score(True).build().run(m)
+    plain = StandardPipeline(BasicCoclusterer(3)).run(m).count()
+    return step.coclusters.select("cid", r("score").alias("score"), F.lit(step.found).cast("long").alias("found"), F.lit(plain).cast("long").alias("plain"))
+
+
 @query("export_csv_rows", f"WITH {NB}, {blocks_sql('nb')} SELECT cid AS cluster_id, b - a AS n_rows, d - c AS n_cols, array_to_string(range(a, b), ';') AS rows, array_to_string(range(c, d), ';') AS cols FROM bk")
 def export_csv_rows(spark, sf):
     return files.export_rows(basic_blocks(nation_brand(spark, sf))).select("cluster_id", F.col("n_rows").cast("long").alias("n_rows"), F.col("n_cols").cast("long").alias("n_cols"), "rows", "cols")
@@ -351,25 +424,26 @@ def block_sizes(spark, sf):
     return P.extract(m, rows, cols).groupBy("rb", "cb").agg(F.count("*").alias("cells"), r(F.sum("v"), 4).alias("total"))
 
 
-@query("grid_heuristics", "SELECT n, greatest(2, CAST(ceil(sqrt(n / 50)) AS INTEGER)) AS grid, CAST(pow(2, ceil(log2(greatest(n / 100, 4)))) AS INTEGER) AS adaptive FROM (VALUES (50), (200), (500), (5000), (100000)) t(n)")
+@query("grid_heuristics", "SELECT n, greatest(2, CAST(ceil(sqrt(n / 50)) AS INTEGER)) AS grid, CAST(pow(2, ceil(log2(greatest(n / 100, 4)))) AS INTEGER) AS adaptive, CAST(ceil(sqrt(n)) AS INTEGER) AS explicit, CASE WHEN n > 10000 THEN '8x1' ELSE '2x2' END AS wide, CASE WHEN n > 4999 THEN '8x1' ELSE '2x2' END AS sparse FROM (VALUES (50), (200), (500), (5000), (100000)) t(n)")
 def grid_heuristics(spark, sf):
-    return spark.createDataFrame([(n, P.block_grid(n), P.adaptive_partitions(n)) for n in (50, 200, 500, 5000, 100000)], "n int, grid int, adaptive int")
+    name = lambda g: f"{g[0]}x{g[1]}"
+    rows = [(n, P.block_grid(n), P.adaptive_partitions(n), P.explicit_grid(n)[0], name(P.grid_for(n)), name(P.grid_for(n, 1 - 240 / n))) for n in (50, 200, 500, 5000, 100000)]
+    return spark.createDataFrame(rows, "n int, grid int, adaptive int, explicit int, wide string, sparse string")
 
 
 def _sets(spark, sf, which: int) -> DataFrame:
-    """Co-clusters of customers by nation and order priority: (pos, cid, row_indices, col_indices)."""
-    o = table(spark, sf, "orders").where(F.col("o_custkey") % 20 < 12 if which == 0 else F.col("o_custkey") % 20 >= 4)
-    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("k"))
-    d = o.join(c, F.col("o_custkey") == F.col("c_custkey")).where("k < 10")
+    """Two partitions of all customers with orders, with the months of their orders: by nation; and by region, with the
+    nations of region 0 on their own (so some co-clusters are equal on both sides): (pos, cid, row_indices, col_indices)."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_nationkey") if which == 0 else F.when(F.col("n_regionkey") == 0, F.col("c_nationkey")).otherwise(25 + F.col("n_regionkey"))
+    d = table(spark, sf, "orders").join(c.select("c_custkey", k.cast("long").alias("k")), F.col("o_custkey") == F.col("c_custkey"))
     d = d.groupBy("k").agg(F.sort_array(F.collect_set("o_custkey")).alias("row_indices"), F.sort_array(F.collect_set(F.month("o_orderdate").cast("long"))).alias("col_indices"))
-    same = F.col("k") < 3  # equal on both sides
-    keep = lambda a, b: F.when(same, F.array(*[F.lit(x).cast("long") for x in b])).otherwise(a)
-    return d.select(F.col("k").alias("pos"), F.col("k").alias("cid"), keep(F.col("row_indices"), [1, 2]).alias("row_indices"), keep(F.col("col_indices"), [3]).alias("col_indices"))
+    return d.select(F.col("k").alias("pos"), F.col("k").alias("cid"), "row_indices", "col_indices")
 
 
 def _sets_sql() -> str:
-    one = lambda name, cond: f"{name} AS (SELECT k AS cid, CASE WHEN k < 3 THEN [1, 2]::BIGINT[] ELSE r END AS rs, CASE WHEN k < 3 THEN [3]::BIGINT[] ELSE c END AS cs FROM (SELECT CAST(c_nationkey AS BIGINT) AS k, list_sort(list(DISTINCT o_custkey)) AS r, list_sort(list(DISTINCT CAST(month(o_orderdate) AS BIGINT))) AS c FROM orders JOIN customer ON o_custkey = c_custkey WHERE {cond} AND c_nationkey < 10 GROUP BY 1))"
-    return f"{one('lhs', 'o_custkey % 20 < 12')}, {one('rhs', 'o_custkey % 20 >= 4')}, ov AS (SELECT l.cid AS lid, r.cid AS rid, sqrt(len(list_intersect(l.rs, r.rs)) / len(list_distinct(l.rs || r.rs)) * len(list_intersect(l.cs, r.cs)) / len(list_distinct(l.cs || r.cs))) AS o, l.rs, l.cs FROM lhs l, rhs r)"
+    one = lambda name, k: f"{name} AS (SELECT CAST({k} AS BIGINT) AS cid, list_sort(list(DISTINCT o_custkey)) AS rs, list_sort(list(DISTINCT CAST(month(o_orderdate) AS BIGINT))) AS cs FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)"
+    return f"{one('lhs', 'c_nationkey')}, {one('rhs', 'CASE WHEN n_regionkey = 0 THEN c_nationkey ELSE 25 + n_regionkey END')}, ov AS (SELECT l.cid AS lid, r.cid AS rid, sqrt(len(list_intersect(l.rs, r.rs)) / len(list_distinct(l.rs || r.rs)) * len(list_intersect(l.cs, r.cs)) / len(list_distinct(l.cs || r.cs))) AS o, l.rs, l.cs FROM lhs l, rhs r)"
 
 
 @query("overlap_matrix", f"WITH {_sets_sql()} SELECT lid, rid, round(o, 8) AS overlap FROM ov WHERE o > 0")
@@ -399,7 +473,7 @@ def merge_weighted_adaptive(spark, sf):
     return d.select("l", "r", r(weighted_score(F.col("l"), F.col("r"), 0.7, 0.3)).alias("weighted"), r(adaptive_score(F.col("l"), F.col("r"), F.col("l") + F.col("r"))).alias("adaptive"))
 
 
-@query("merge_rounds", f"""WITH {_sets_sql()}, l0 AS (SELECT 0 AS node, rs, cs FROM lhs WHERE cid < 5 UNION ALL SELECT 1, rs, cs FROM rhs WHERE cid < 5 UNION ALL SELECT 2, rs, cs FROM lhs WHERE cid >= 5),
+@query("merge_rounds", f"""WITH {_sets_sql()}, l0 AS (SELECT 0 AS node, rs, cs FROM lhs WHERE cid < 5 UNION ALL SELECT 1, rs, cs FROM rhs UNION ALL SELECT 2, rs, cs FROM lhs WHERE cid >= 5),
 l1 AS (SELECT DISTINCT node // 2 AS node, rs, cs FROM l0), l2 AS (SELECT DISTINCT node // 2 AS node, rs, cs FROM l1),
 s1 AS (SELECT n.node, coalesce((SELECT count(*) FROM l1 WHERE l1.node = n.node) / nullif((SELECT count(*) FROM l0 WHERE l0.node // 2 = n.node), 0), 0) AS s FROM (VALUES (0), (1)) n(node)),
 s2 AS (SELECT (SELECT count(*) FROM l2) / (SELECT count(*) FROM l1) AS s)
@@ -408,7 +482,7 @@ UNION ALL SELECT 1, (SELECT count(*) FROM l1), round((SELECT avg(s) FROM s1), 8)
 def merge_rounds(spark, sf):
     a, b = (_sets(spark, sf, k) for k in (0, 1))
     leaf = lambda d, n: d.select(F.lit(n).cast("long").alias("node"), "pos", "row_indices", "col_indices")
-    leaves = leaf(a.where("cid < 5"), 0).unionAll(leaf(b.where("cid < 5"), 1)).unionAll(leaf(a.where("cid >= 5"), 2))
+    leaves = leaf(a.where("cid < 5"), 0).unionAll(leaf(b, 1)).unionAll(leaf(a.where("cid >= 5"), 2))
     return merge_tree(leaves, 3, MergeConfig("union"))[1].select("round", "num_clusters", r("avg_merge_score", 8).alias("avg_merge_score"), "num_merges")
 
 
@@ -470,9 +544,9 @@ def coverage(spark, sf):
     return X.coverage(_sets(spark, sf, 0), table(spark, sf, "customer").count()).select(r("coverage", 8).alias("coverage"))
 
 
-@query("last_wins_labels", f"WITH {_sets_sql()} SELECT i, coalesce(max(cid), 0) AS label FROM range(1000) t(i) LEFT JOIN (SELECT cid, unnest(rs) AS i FROM lhs) USING (i) GROUP BY i")
+@query("last_wins_labels", f"WITH {_sets_sql()} SELECT i, coalesce(max(cid), 0) AS label FROM range((SELECT max(c_custkey) + 1 FROM customer)) t(i) LEFT JOIN (SELECT cid, unnest(rs) AS i FROM lhs) USING (i) GROUP BY i")
 def last_wins_labels(spark, sf):
-    return X.last_wins_labels(_sets(spark, sf, 0), 1000)
+    return X.last_wins_labels(_sets(spark, sf, 0), table(spark, sf, "customer").agg(F.max("c_custkey") + 1).first()[0])
 
 
 _RUNS = "runs AS (SELECT p_brand AS method, p_size AS seed, CAST(sum(p_retailprice) AS DOUBLE) AS x FROM part GROUP BY ALL)"
@@ -549,9 +623,9 @@ def equal_sample(spark, sf):
     return T.equal_sample(table(spark, sf, "documents").select("doc_id", "lang"), 20, 3, "doc_id", "lang")
 
 
-@query("single_label", "SELECT vec_id AS i, list_position(e, list_max(e)) - 1 AS label FROM (SELECT vec_id, embedding[1:4] AS e FROM embeddings) WHERE list_max(e) > 0")
+@query("single_label", "SELECT vec_id AS i, list_position(e, list_max(e)) - 1 AS label FROM (SELECT vec_id, embedding AS e FROM embeddings) WHERE list_max(e) > 0")
 def single_label(spark, sf):
-    return T.single_label(table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("e")), "vec_id", "e")
+    return T.single_label(table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
 @query("chunk_sums", f"WITH {CP} SELECT i // 100 AS chunk, count(*) AS cells, round(sum(v), 4) AS total FROM cp GROUP BY 1")
@@ -594,7 +668,7 @@ def hierarchical_consensus(spark, sf):
 @query("sweep_top10", f"WITH {_TIMES} SELECT dataset, CAST(max(nmi) AS BIGINT) AS nmi, count(*) AS n FROM t GROUP BY dataset ORDER BY count(*) DESC, dataset LIMIT 10")
 def sweep_top10(spark, sf):
     d = _times(spark, sf).groupBy("dataset").agg(F.max("nmi").cast("long").alias("nmi"), F.count("*").alias("n"))
-    return d.orderBy(F.desc("n"), "dataset").limit(10)
+    return X.best_runs(d, "n", 10, ["dataset"])
 
 
 @query("zero_expand", "SELECT CAST(k AS BIGINT) AS i, CASE WHEN k % 3 = 0 THEN 0.0 ELSE CAST(k AS DOUBLE) END AS v FROM range(30) t(k)")

@@ -80,13 +80,17 @@ def write_npy(m: CoMatrix, path: str) -> None:
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> CoMatrix:
-    """A coordinate Matrix Market file (general or symmetric; pattern entries are 1)."""
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    """A coordinate Matrix Market file (general or symmetric; pattern entries are 1), in one part or several.
+
+    The size line is the first one that is no comment in the part with the header; parts are read in any order.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("o")).where(F.length(F.trim("value")) > 0)
     first = lines.where(F.col("value").startswith("%%MatrixMarket")).first()
-    kind = (first[0] if first else "").lower()
+    kind = (first["value"] if first else "").lower()
     p = F.split(F.trim("value"), r"\s+")
-    body = lines.where(~F.col("value").startswith("%")).select(p.alias("p"), F.monotonically_increasing_id().alias("m"))
-    size = body.orderBy("m").first()
+    body = lines.where(~F.col("value").startswith("%")).select(p.alias("p"), "f", "o", F.monotonically_increasing_id().alias("m"))
+    here = F.lit(True) if first is None else F.col("f") == first["f"]
+    size = body.agg(F.min(F.when(here, F.struct("o", "m", "p"))).alias("s")).first()["s"]
     if size is None:
         raise ValueError("no size line")
     n_rows, n_cols = int(size["p"][0]), int(size["p"][1])
