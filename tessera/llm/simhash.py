@@ -15,8 +15,9 @@ unbounded group, and each task keeps only a spanning forest of the links that it
 ``keep_one`` has a rule of its own: two texts are near copies if the Jaccard similarity of their sets of 5-word shingles
 is at least 0.8. At 0.8 SimHash values lie about 10 of 64 bits apart and often more than 15; blocks that two such values
 must share are too short to be keys. Candidates come from MinHash bands instead (28 bands of 6 values: a pair at 0.8 is
-missed with probability 0.0002, at 0.9 with 1e-9), and every link is verified on the exact sets. A band's texts
-are compared with its least first; only those that are still in different components then meet each other.
+missed with probability 0.0002, at 0.9 with 1e-9). Of bands with the same texts one is taken. Its sets go to the tasks in
+tiles of at most ``tile`` shingles (or one longer text), which count shared shingles through an inverted list and keep
+a spanning forest of the links, so a band's pairs are compared exactly but never become rows.
 """
 
 from __future__ import annotations
@@ -87,19 +88,34 @@ def _keys(distance: int, spare: int):
     return F.array(*[F.struct(F.lit(i).cast("short").alias("c"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks)])
 
 
-def _forest(rows: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """A spanning forest (fp, root) of the links among the rows of each (c, key, i, j); rows come sorted by group."""
-    parent: dict[int, int] = {}
+class _Forest:
+    """Union-find over the linked values of one task."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
 
-    def find(x: int) -> int:
+    def find(self, x: int) -> int:
+        parent = self.parent
         while (p := parent.setdefault(x, x)) != x:
             parent[x] = x = parent[p]
         return x
 
-    def link(a: int, b: int) -> None:
-        a, b = find(a), find(b)
+    def link(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
         if a != b:
-            parent[max(a, b)] = min(a, b)
+            self.parent[max(a, b)] = min(a, b)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        nodes = list(self.parent)
+        for k in range(0, len(nodes), 50_000):
+            own = nodes[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([self.find(x) for x in own], pa.int64())], ["fp", "root"])
+
+
+def _forest(rows: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """A spanning forest (fp, root) of the links among the rows of each (c, key, i, j); rows come sorted by group."""
+    forest = _Forest()
+    link = forest.link
 
     def solve(fp: np.ndarray, side: np.ndarray) -> None:
         if len(fp) < 2:
@@ -134,10 +150,7 @@ def _forest(rows: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Record
         held = [x[at[-1] :] for x in cols]
     if held is not None:
         solve(held[4], held[5])
-    nodes = list(parent)
-    for k in range(0, len(nodes), 50_000):
-        own = nodes[k : k + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([find(x) for x in own], pa.int64())], ["fp", "root"])
+    yield from forest.batches()
 
 
 def links(fps: DataFrame, distance: int = 3, spare: int = 3, tile: int = 4096) -> DataFrame:
@@ -175,7 +188,7 @@ def _labelled(fps: DataFrame, rooted: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, fp, keys, shingles) for each row: the sorted distinct shingle hashes, their XXH64 and the band keys.
+    """(id, fp, n, keys, shingles) for each row: the sorted distinct shingle hashes, their number, XXH64 and band keys.
 
     A text without words has no shingle and no key; all of those share one fp.
     """
@@ -198,21 +211,74 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, bands:
             fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
             band = [np.array(keys(h), np.uint64).view(np.int64) for h in sets]
             lists = (pa.array(x, pa.list_(pa.int64())) for x in (band, [h.view(np.int64) for h in sets]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *lists], ["id", "fp", "keys", "shingles"])
+            n = pa.array([len(h) for h in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), n, *lists], ["id", "fp", "n", "keys", "shingles"])
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return d.mapInArrow(run, "id long, fp long, keys array<long>, shingles array<long>")
-
+    return d.mapInArrow(run, "id long, fp long, n long, keys array<long>, shingles array<long>")
+
+
+def _set_forest(rows: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """A spanning forest (fp, root) of the similar sets of each (key, i, j); rows come sorted by group."""
+    forest = _Forest()
+
+    def solve(g: pa.RecordBatch) -> None:
+        names, side, sets = g.column(3).to_pylist(), np.asarray(g.column(4)), g.column(5)
+        size = np.asarray(sets.value_lengths()).astype(np.int64)
+        n, ends = len(names), np.cumsum(size)
+        # The inverted list: the rows that hold each shingle, at held[first[s] : first[s] + count[s]].
+        _, place, count = np.unique(np.asarray(sets.flatten()), return_inverse=True, return_counts=True)
+        held = np.repeat(np.arange(n), size)[np.argsort(place, kind="stable")]
+        first = np.cumsum(count) - count
+        cross = bool(side.any())
+        comp = np.arange(n)
+        for k in np.flatnonzero(side == 0).tolist() if cross else range(n):
+            own = place[ends[k] - size[k] : ends[k]]
+            width = count[own]
+            at = np.repeat(first[own] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+            shared = np.bincount(held[at], minlength=n)
+            near = (shared >= similarity * (size + size[k] - shared) - 1e-9) & (comp != comp[k])
+            near = np.flatnonzero(near & (side == 1) if cross else near)
+            while len(near):
+                other = comp[near[0]]
+                forest.link(names[k], names[near[0]])
+                comp[comp == other] = comp[k]
+                near = near[comp[near] != comp[k]]
+            if (comp == comp[0]).all():
+                break
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose shingle sets have at least this Jaccard similarity."""
-    pairs = store(pairs.distinct(), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    held = store(sets.select("fp", "shingles").join(ends, "fp", "left_semi").distinct(), "sets")
-    d = pairs.join(held.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    d = d.select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("all"))
-    return store(d.where(F.col("both") >= similarity * F.col("all") - 1e-9).select("a", "b"), "similar")
+    held: pa.RecordBatch | None = None
+    for b in rows:
+        if not b.num_rows:
+            continue
+        b = b if held is None else pa.concat_batches([held, b])
+        new = np.zeros(b.num_rows, bool)
+        for i in range(3):
+            x = np.asarray(b.column(i))
+            new[1:] |= x[1:] != x[:-1]
+        at = [0, *np.flatnonzero(new).tolist()]
+        for i, j in zip(at, at[1:], strict=False):
+            solve(b.slice(i, j - i))
+        held = b.slice(at[-1])
+    if held is not None:
+        solve(held)
+    yield from forest.batches()
+
+
+def similar_sets(sets: DataFrame, similarity: float, tile: int = 1 << 19) -> DataFrame:
+    """(fp, root): edges that connect the sets (fp, n, keys, shingles) which share a key and are similar."""
+    keyed = sets.select("fp", "n", "keys").distinct().select("fp", "n", F.explode("keys").alias("key"))
+    keyed = store(keyed, "bands")
+    bands = keyed.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("fp")).alias("mark")).where("members > 1")
+    # Near copies meet in many bands: of bands with the same texts, one is enough.
+    bands = bands.groupBy("members", "total", "mark").agg(F.min("key").alias("key"))
+    t = keyed.join(bands.select("key", F.ceil(F.col("total") / F.lit(tile)).cast("int").alias("tiles")), "key")
+    t = t.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    t = store(t.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", (F.col("own") > F.col("other")).cast("byte").alias("side")), "tiles")
+    own = sets.select("fp", "shingles").join(t.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.any_value("shingles").alias("shingles"))
+    by = ["key", "i", "j"]
+    t = t.join(own, "fp").select(*by, "fp", "side", "shingles")
+    return t.repartition(*by).sortWithinPartitions(*by, "fp").mapInArrow(lambda rows: _set_forest(rows, similarity), "fp long, root long").where("fp <> root")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, size: int = 5, bands: int = 28, rows: int = 6) -> DataFrame:
@@ -221,20 +287,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts with equal shingle sets share fp, texts without words too; nulls and repeated rows as in ``near_duplicates``.
     """
     sets = store(shingle_sets(docs, id_col, text_col, size, bands, rows), "shingles")
-    keyed = sets.select("fp", F.size("shingles").alias("n"), "keys").distinct().select("fp", "n", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select("key", "least")
-    held = store(keyed.join(least, "key"), "bands")
-    first = _similar(held.where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")), sets, similarity)
-    rooted = components(first, "a", "b")
-    # What a band's least did not connect: members of different components meet each other, unless their sizes rule it out.
-    left = held.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    mixed = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = store(left.where("fp <> least").join(mixed, "key").select("key", "fp", "n", "root"), "rest")
-    x, y = left.select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), left.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9))
-    more = _similar(pairs.select("a", "b"), sets, similarity)
-    if not more.isEmpty():
-        rooted = components(first.union(more), "a", "b")
+    rooted = components(similar_sets(sets, similarity), "fp", "root")
     return _labelled(sets.select("id", "fp"), rooted).withColumnRenamed("id", id_col)
 
 
