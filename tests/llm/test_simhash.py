@@ -111,3 +111,24 @@ def test_near_copies_reach_five_word_similarity(spark):
     assert {x.doc_id for x in S.keep_one(df).collect()} == set(comp)
     # The three-bit rule leaves near copies that this one takes out.
     assert S.near_duplicates(df).where("doc_id = component_id").count() > len(set(comp))
+
+
+def test_tiles_of_sets_link_what_brute_force_links(spark):
+    from tessera.llm.components import components
+
+    r = random.Random(5)
+    base = [r.getrandbits(62) for _ in range(120)]
+    sets = [sorted(r.sample(base, r.randrange(80, 121))) for _ in range(60)] + [sorted(r.getrandbits(62) for _ in range(500)), [7]]
+    # All share key 1; key 2 repeats the group, and key 3 has one set only.
+    df = spark.createDataFrame([(k, len(x), [1, 2] + [3] * (k == 0), x) for k, x in enumerate(sets)], "fp long, n long, keys array<long>, shingles array<long>")
+    comp = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = set(sets[i]), set(sets[j])
+            if len(a & b) >= 0.8 * len(a | b) and comp[i] != comp[j]:
+                lo, hi = sorted((comp[i], comp[j]))
+                comp = [lo if c == hi else c for c in comp]
+    assert 2 < len(set(comp)) < len(sets)
+    for tile in (300, 1 << 19):
+        root = {x.node: x.root for x in components(S.similar_sets(df, 0.8, tile), "fp", "root").collect()}
+        assert [root.get(k, k) for k in range(len(sets))] == comp
