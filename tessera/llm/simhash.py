@@ -17,12 +17,13 @@ is at least 0.8. At 0.8 SimHash values lie about 10 of 64 bits apart and often m
 must share are too short to be keys. Candidates come from MinHash bands instead (28 bands of 6 values: a pair at 0.8 is
 missed with probability 0.0002, at 0.9 with 1e-9). Of bands with the same texts one is taken. Its sets go to the tasks in
 tiles of at most ``tile`` shingles (or one longer text), which count shared shingles through an inverted list and keep
-a spanning forest of the links, so a band's pairs are compared exactly but never become rows.
+a spanning forest of the links, so a band's pairs are compared exactly but never become rows. Sets are twice as large as
+the texts, so only keys are stored for every text; the sets of the texts that meet others are made from the texts again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -187,8 +188,21 @@ def _labelled(fps: DataFrame, rooted: DataFrame) -> DataFrame:
     return fps.join(label, "fp").select("id", "fp", "component_id")
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, fp, n, keys, shingles) for each row: the sorted distinct shingle hashes, their number, XXH64 and band keys.
+def _sets(text: pa.Array, size: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    return [np.unique(shingle_hashes(t.as_py(), size)) for t in text]
+
+
+def _set_names(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64))
+
+
+def _longs(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.view(np.int64) for x in arrays], pa.list_(pa.int64()))
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
+    """(id, fp, n, keys) for each row: XXH64 and number of the distinct shingle hashes, and the band keys.
 
     A text without words has no shingle and no key; all of those share one fp.
     """
@@ -207,15 +221,23 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, bands:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 200):
-            sets = [np.unique(shingle_hashes(t.as_py(), size)) for t in b.column(1)]
-            fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-            band = [np.array(keys(h), np.uint64).view(np.int64) for h in sets]
-            lists = (pa.array(x, pa.list_(pa.int64())) for x in (band, [h.view(np.int64) for h in sets]))
+            sets = _sets(b.column(1), size)
             n = pa.array([len(h) for h in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), n, *lists], ["id", "fp", "n", "keys", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _set_names(sets), n, _longs([np.array(keys(h), np.uint64) for h in sets])], ["id", "fp", "n", "keys"])
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return d.mapInArrow(run, "id long, fp long, n long, keys array<long>, shingles array<long>")
+    return d.mapInArrow(run, "id long, fp long, n long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """(fp, shingles) for each row: the sorted distinct shingle hashes and their XXH64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 200):
+            sets = _sets(b.column(0), size)
+            yield pa.RecordBatch.from_arrays([_set_names(sets), _longs(sets)], ["fp", "shingles"])
+
+    return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "fp long, shingles array<long>")
 
 
 def _set_forest(rows: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -265,9 +287,12 @@ def _set_forest(rows: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
     yield from forest.batches()
 
 
-def similar_sets(sets: DataFrame, similarity: float, tile: int = 1 << 19) -> DataFrame:
-    """(fp, root): edges that connect the sets (fp, n, keys, shingles) which share a key and are similar."""
-    keyed = sets.select("fp", "n", "keys").distinct().select("fp", "n", F.explode("keys").alias("key"))
+def similar_sets(signed: DataFrame, similarity: float, tile: int = 1 << 19, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(fp, root): edges that connect the sets (fp, n, keys) which share a key and are similar.
+
+    ``sets_of`` gives (fp, shingles) of at least the fp asked for; without it ``signed`` has the column shingles.
+    """
+    keyed = signed.select("fp", "n", "keys").distinct().select("fp", "n", F.explode("keys").alias("key"))
     keyed = store(keyed, "bands")
     bands = keyed.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("fp")).alias("mark")).where("members > 1")
     # Near copies meet in many bands: of bands with the same texts, one is enough.
@@ -275,7 +300,8 @@ def similar_sets(sets: DataFrame, similarity: float, tile: int = 1 << 19) -> Dat
     t = keyed.join(bands.select("key", F.ceil(F.col("total") / F.lit(tile)).cast("int").alias("tiles")), "key")
     t = t.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     t = store(t.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", (F.col("own") > F.col("other")).cast("byte").alias("side")), "tiles")
-    own = sets.select("fp", "shingles").join(t.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.any_value("shingles").alias("shingles"))
+    own = sets_of(store(t.select("fp").distinct(), "meeting")) if sets_of else signed.select("fp", "shingles")
+    own = own.groupBy("fp").agg(F.any_value("shingles").alias("shingles"))
     by = ["key", "i", "j"]
     t = t.join(own, "fp").select(*by, "fp", "side", "shingles")
     return t.repartition(*by).sortWithinPartitions(*by, "fp").mapInArrow(lambda rows: _set_forest(rows, similarity), "fp long, root long").where("fp <> root")
@@ -286,9 +312,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts with equal shingle sets share fp, texts without words too; nulls and repeated rows as in ``near_duplicates``.
     """
-    sets = store(shingle_sets(docs, id_col, text_col, size, bands, rows), "shingles")
-    rooted = components(similar_sets(sets, similarity), "fp", "root")
-    return _labelled(sets.select("id", "fp"), rooted).withColumnRenamed("id", id_col)
+    signed = store(signatures(docs, id_col, text_col, size, bands, rows), "signatures")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Sets of the texts whose id is the least of a wanted set; a repeated or null id may bring others along."""
+        ids = store(signed.join(wanted, "fp").groupBy("fp").agg(F.min("id").alias("_id")).select("_id").distinct(), "ids")
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+        return shingle_sets(texts.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi"), "t", size)
+
+    rooted = components(similar_sets(signed, similarity, sets_of=sets_of), "fp", "root")
+    return _labelled(signed.select("id", "fp"), rooted).withColumnRenamed("id", id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, size: int = 5) -> DataFrame:
@@ -300,7 +333,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     stays = F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id")))
     # Stored, so that Spark knows the size: a few ids are broadcast and the texts stay; many are joined by shuffle.
     gone = store(d.groupBy(F.col(id_col).alias("_id")).agg(stays.alias("stays")).where("not stays").select("_id"), "gone")
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

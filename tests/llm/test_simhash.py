@@ -80,6 +80,17 @@ def test_empty_and_keep_one(spark):
     assert sorted(x.doc_id for x in S.keep_one(df).collect()) == [1, 3]
 
 
+def test_keep_one_with_clashing_columns_and_null_or_repeated_ids(spark):
+    words = [f"w{k}" for k in range(80)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(None, " ".join(words)), (None, "alone in here"), (4, near), (4, "not near any of them"), (7, near), (9, "apart")]
+    df = spark.createDataFrame([(a, t, 1, 2, 3, 4) for a, t in rows], "doc_id long, text string, _id int, t int, id int, fp int")
+    assert {(x.doc_id, x.text) for x in S.near_copies(df).where("component_id = 4").join(df, "doc_id").collect()} == {(4, near), (4, rows[3][1]), (7, near)}
+    kept = S.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((x.doc_id or 0, x.text) for x in kept.collect()) == sorted([(0, "alone in here"), (0, rows[0][1]), (4, near), (4, rows[3][1]), (9, "apart")])
+
+
 def test_near_copies_reach_five_word_similarity(spark):
     r = random.Random(11)
     vocab = [f"v{i}" for i in range(5000)]
